@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,8 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: All ASCII but letters and digits.
 MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+#: Bytes of a word above which one call hashes it whole.
+LONG = 64
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
@@ -50,10 +53,13 @@ def words(texts: list[bytes], lower: bool = True, parts: np.ndarray = WHITE) ->
 
 
 def hashes(w: Words) -> np.ndarray:
-    """64-bit hash of each word, eight bytes at a time; equal on every machine."""
+    """64-bit hash of each word, eight bytes of all words at a time; equal on every machine."""
     wide = np.ndarray(len(w.buf) - 7, np.dtype("<u8"), w.buf, strides=(1,))
     left = w.end - w.start
     h = mix((wide[w.start] & _MASKS[np.minimum(left, 8)]) + left.astype(np.uint64) * MUL_A)
+    for i in np.flatnonzero(left > LONG):
+        word = w.buf[w.start[i] : w.end[i]].tobytes()
+        h[i], left[i] = U(int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")), 0
     at, rest = w.start + 8, np.flatnonzero(left > 8)
     while len(rest):
         size = left[rest] - 8
