@@ -8,16 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, warc
 from .common import Scratch, table
+from .decontaminate import find_leaks
 from .jaccard_join import jaccard_components
+from .mixing import mix, mix_oracle
 from .pii import pii_report
 from .quality_rules import repetition_rules
 from .secret_scan import scan_secrets
 
+#: Characters of a block of the mix.
+BLOCK_CHARS = 100_000
+
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=5, percent=80)
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), block_chars=BLOCK_CHARS)
+
+
 def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents")).drop("dup_ngram_share", "reason")
 
@@ -38,6 +47,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("credentials")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"), Scratch(spark, "warc"), least_bytes=0)
     return warc.pages_from_archives(warc.read_archives(archives, payloads=False))
@@ -45,13 +58,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_mix_sources": op3_mix_sources,
     "op4_repetition_rules": op4_repetition_rules,
     "op5_chat_format": op5_chat_format,
     "op6_pii": op6_pii,
     "op8_secret_scan": op8_secret_scan,
+    "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {
+    "op3_mix_sources": mix_oracle(BLOCK_CHARS),
     "op5_chat_format": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
