@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, warc
+from . import chat_format, quality_mil, warc
 from .common import Scratch, table
 from .decontaminate import find_leaks
 from .jaccard_join import jaccard_components
@@ -43,6 +43,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_mil.score(docs, quality_mil.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("credentials")
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_repetition_rules": op4_repetition_rules,
     "op5_chat_format": op5_chat_format,
     "op6_pii": op6_pii,
+    "op7_quality_mil": op7_quality_mil,
     "op8_secret_scan": op8_secret_scan,
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
