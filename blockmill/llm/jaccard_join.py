@@ -157,8 +157,11 @@ def linkable(maps_a, sizes_a, maps_b, sizes_b, i, j, percent: int) -> np.ndarray
 # --- blocks of bitmaps ----------------------------------------------------------------------------------------------
 
 
-def _forest(sizes: np.ndarray, maps: list[np.ndarray], bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links from each row to the first of its group, over what the bitmaps let link in each block bounds[k]:bounds[k + 1]."""
+def _forest(sizes: np.ndarray, maps: list[np.ndarray], side: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links from rows to the first row of their group, over what the bitmaps let link in each block bounds[k]:bounds[k + 1].
+
+    A block of two sides gives only the links that join groups across the sides: each side is a block of its own as well.
+    """
     links: list[tuple[np.ndarray, np.ndarray]] = []
     width = np.array([len(m) for m in maps])
     small: list[tuple[int, int]] = []
@@ -187,8 +190,12 @@ def _forest(sizes: np.ndarray, maps: list[np.ndarray], bounds: np.ndarray, perce
                 links.append((i[part][keep], j[part][keep]))
     if not links:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    label = roots(len(sizes), np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links]))
-    row = np.flatnonzero(label != np.arange(len(sizes)))
+    i, j = np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links])
+    label = roots(len(sizes), i, j)
+    same = side[i] == side[j]
+    inner = roots(len(sizes), i[same], j[same])
+    two = np.repeat([side[e - 1] == 1 for e in bounds[1:]], np.diff(bounds))
+    row = np.flatnonzero((label != np.arange(len(sizes))) & (~two | (inner == np.arange(len(sizes)))))
     return row, label[row]
 
 
@@ -217,21 +224,27 @@ def _links(ids: np.ndarray, side: np.ndarray, x: np.ndarray, bounds: np.ndarray,
             group[k] = k = group[group[k]]
         return k
 
-    out: list[tuple[int, int]] = []
-    for i, j in traverse(a, b, percent):
-        for p, q in zip(rows[0][i].tolist(), other[j].tolist(), strict=True):
-            rp, rq = root(p), root(q)
-            if rp == rq:
-                continue
-            y, z = x[bounds[p] : bounds[p + 1]], x[bounds[q] : bounds[q + 1]]
-            if len(y) > len(z):
-                y, z = z, y
-            at = np.searchsorted(z, y)
-            common = int((z[np.minimum(at, len(z) - 1)] == y).sum())
-            if 100 * common >= percent * (len(y) + len(z) - common):
-                group[rq] = rp
-                out.append((p, q))
-    pairs = np.array(out, np.int64).reshape(-1, 2)
+    def join(one: Tree, two: Tree, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for i, j in traverse(one, two, percent):
+            for p, q in zip(left[i].tolist(), right[j].tolist(), strict=True):
+                rp, rq = root(p), root(q)
+                if rp == rq:
+                    continue
+                y, z = x[bounds[p] : bounds[p + 1]], x[bounds[q] : bounds[q + 1]]
+                if len(y) > len(z):
+                    y, z = z, y
+                at = np.searchsorted(z, y)
+                common = int((z[np.minimum(at, len(z) - 1)] == y).sum())
+                if 100 * common >= percent * (len(y) + len(z) - common):
+                    group[rq] = rp
+                    out.append((p, q))
+        return out
+
+    if b is not a:  # links inside the sides are other tasks' to tell; known here, they leave few to look for across
+        join(a, a, rows[0], rows[0])
+        join(b, b, rows[1], rows[1])
+    pairs = np.array(join(a, b, rows[0], other), np.int64).reshape(-1, 2)
     return ids[pairs[:, 0]], ids[pairs[:, 1]]
 
 
@@ -274,10 +287,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     mine = some.join(classes, ["k1", "k2", "n"]).where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n", "map", "prefix")
     mine = scratch.write(mine, "mine")
     dealt = mine.select(F.explode("prefix").alias("token"), "rep", "n")
-    blocks = dealt.repartition(F.col("token")).sortWithinPartitions("token", "n", "rep").mapInArrow(_blocks(percent), "block long, members array<long>")
-    blocks = scratch.write(blocks.groupBy("block").agg(F.first("members").alias("members")), "blocks")
-    rows = blocks.select("block", F.explode("members").alias("rep")).join(mine.select("rep", "n", "map"), "rep")
-    near = rows.repartition(F.col("block")).sortWithinPartitions("block", "rep").mapInArrow(_near(percent), "a long, b long")
+    blocks = dealt.repartition(F.col("token")).sortWithinPartitions("token", "n", "rep").mapInArrow(_blocks(percent), "block long, first int, members array<long>")
+    blocks = scratch.write(blocks.groupBy("block").agg(F.first("first").alias("first"), F.first("members").alias("members")), "blocks")
+    rows = blocks.select("block", "first", F.posexplode("members").alias("k", "rep")).selectExpr("block", "CAST(k >= first AS INT) AS side", "rep").join(mine.select("rep", "n", "map"), "rep")
+    near = rows.repartition(F.col("block")).sortWithinPartitions("block", "side", "rep").mapInArrow(_near(percent), "a long, b long")
     near = scratch.write(near.distinct(), "near")
     scratch.drop("blocks", "mine")
     groups = scratch.write(components(near, scratch, "groups"), "groups")
@@ -339,51 +352,70 @@ def _prefixes(x, bounds, heavy, rank, percent):
 
 
 def _blocks(percent: int):
-    """From rows sorted by token, size and class: the members of each token, in pairs of blocks that sizes let link."""
+    """From rows sorted by token, size and class: the members of each token, in pairs of cells that sizes let link."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_runs(batches, "token"):
             token, rep, n = (t.column(c).to_numpy() for c in ("token", "rep", "n"))
             at = starts_of_runs(token)
             count = np.diff(at)
-            for small in (True, False):
-                pick = np.flatnonzero((count >= 2) & ((count <= BLOCK) == small))
-                if not len(pick):
-                    continue
-                if small:
-                    starts, sizes = at[pick], count[pick]
-                    bounds = np.concatenate(([0], np.cumsum(sizes)))
-                    members = rep[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])]
-                    yield _batch(members, bounds)
-                    continue
-                for k in pick.tolist():
-                    cuts = list(range(at[k], at[k + 1], BLOCK // 2)) + [int(at[k + 1])]
-                    out = []
-                    for i in range(len(cuts) - 1):
-                        for j in range(i, len(cuts) - 1):
-                            if 100 * n[cuts[i + 1] - 1] < percent * n[cuts[j]]:
-                                break
-                            out.append(np.concatenate([rep[cuts[i] : cuts[i + 1]], rep[cuts[j] : cuts[j + 1]] if j > i else rep[:0]]))
-                        if len(out) > 500:
-                            yield _batch(np.concatenate(out), np.cumsum([0, *map(len, out)]))
+            pick = np.flatnonzero((count >= 2) & (count <= BLOCK))
+            if len(pick):
+                starts, sizes = at[pick], count[pick]
+                bounds = np.concatenate(([0], np.cumsum(sizes)))
+                members = rep[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])]
+                yield _batch(members, np.zeros(len(members), np.int8), bounds)
+            for k in np.flatnonzero(count > BLOCK).tolist():
+                cells = list(_cells(rep[at[k] : at[k + 1]], n[at[k] : at[k + 1]], percent))
+                out: list[tuple[np.ndarray, np.ndarray]] = []
+                for i, (one, _, hi) in enumerate(cells):
+                    for j in range(i, len(cells)):
+                        other, lo, _ = cells[j]
+                        if j > i and 100 * hi < percent * lo:
+                            continue
+                        out.append((one, other if j > i else other[:0]))
+                        if len(out) >= 500:
+                            yield _pairs(out)
                             out = []
-                    if out:
-                        yield _batch(np.concatenate(out), np.cumsum([0, *map(len, out)]))
+                if out:
+                    yield _pairs(out)
 
     return run
 
 
-def _batch(members: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
-    """A block's id hashes its members: blocks of equal members become one. Members come in a fixed order."""
+def _cells(rep: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Members in cells of similar sizes, large ones cut by hash: the same classes meet in the same cell under any token."""
+    step = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64) if percent < 100 else n
+    at = starts_of_runs(step)  # rows are in order of size
+    for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        parts = 1
+        while (e - s) > parts * BLOCK // 2:
+            parts *= 2
+        part = T.mix(rep[s:e].view(np.uint64)) % U(parts)
+        for k in range(parts):
+            rows = s + np.flatnonzero(part == k)
+            if len(rows):
+                yield rep[rows], int(n[rows].min()), int(n[rows].max())
+
+
+def _pairs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    members = np.concatenate([x for pair in pairs for x in pair])
+    side = np.concatenate([np.repeat(np.array([0, 1], np.int8), [len(x), len(y)]) for x, y in pairs])
+    return _batch(members, side, np.cumsum([0, *(len(x) + len(y) for x, y in pairs)]))
+
+
+def _batch(members: np.ndarray, side: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    """A block's id hashes its members: blocks of equal members become one. Members come in a fixed order, side 1 last."""
     group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    members = members[np.lexsort((members, group))]
-    c = np.concatenate((np.zeros(1, np.uint64), np.cumsum(T.mix(members.view(np.uint64) + T.MUL_A), dtype=np.uint64)))
+    order = np.lexsort((members, side, group))
+    members, side = members[order], side[order]
+    h = T.mix(members.view(np.uint64) + T.MUL_A * (side.astype(np.uint64) + U(1)))
+    c = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)))
     block = T.mix(c[bounds[1:]] - c[bounds[:-1]] + np.diff(bounds).astype(np.uint64))
-    first = np.unique(block, return_index=True)[1]  # of those within a batch, at once
     keep = np.zeros(len(block), bool)
-    keep[first] = True
-    members = members[np.repeat(keep, np.diff(bounds))]
-    return pa.RecordBatch.from_arrays([pa.array(block[keep].view(np.int64)), lists(members, np.concatenate(([0], np.cumsum(np.diff(bounds)[keep]))), pa.int64())], ["block", "members"])
+    keep[np.unique(block, return_index=True)[1]] = True  # of those within a batch, at once
+    left = np.bincount(group, side == 0, minlength=len(block)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(block[keep].view(np.int64)), pa.array(left[keep]), lists(members[np.repeat(keep, np.diff(bounds))], np.concatenate(([0], np.cumsum(np.diff(bounds)[keep]))), pa.int64())], ["block", "first", "members"])
 
 
 def _near(percent: int):
@@ -391,7 +423,7 @@ def _near(percent: int):
         for t in whole_runs(batches, "block"):
             rep, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
             maps = [np.frombuffer(m, np.uint64) for m in t.column("map").to_pylist()]
-            row, root = _forest(n, maps, starts_of_runs(t.column("block").to_numpy()), percent)
+            row, root = _forest(n, maps, t.column("side").to_numpy(), starts_of_runs(t.column("block").to_numpy()), percent)
             yield pa.RecordBatch.from_arrays([pa.array(rep[row]), pa.array(rep[root])], ["a", "b"])
 
     return run
