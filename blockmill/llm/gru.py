@@ -48,10 +48,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+def softmax(x: np.ndarray, target: np.ndarray, gradient: bool) -> np.ndarray:
+    """Log-probability of each row's target; or, in place of the logits, the gradient of its negative. Logits are held below 60."""
+    np.minimum(x, F32(60), out=x)
+    rows = np.arange(len(x))
+    if gradient:
+        np.exp(x, out=x)
+        x *= (1 / (x @ np.ones(x.shape[1], F32)))[:, None]
+        x[rows, target] -= 1
+        return x
+    picked = x[rows, target]
+    np.exp(x, out=x)
+    return picked - np.log(x @ np.ones(x.shape[1], F32))
 
 
 def start(shape: Shape, counts: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
@@ -113,15 +121,19 @@ class Network:
         out, tape = [], []
         for t, a in enumerate(active.tolist()):
             last = np.where(fresh[t, :a, None], F32(0), h[:a])
-            x = p["x"][before[t, :a]]
+            x = p["x"].take(before[t, :a], 0)
             x += p["b"]
             hu = last @ p["u"]
             gates = sigmoid(x[:, : 2 * n] + hu[:, : 2 * n])
             r, z = gates[:, :n], gates[:, n:]
-            new = sigmoid(2 * (x[:, 2 * n :] + r * hu[:, 2 * n :]))
+            new = r * hu[:, 2 * n :]
+            new += x[:, 2 * n :]
+            new = sigmoid(new + new)  # tanh(v) is 2 sigmoid(2 v) - 1
             new *= 2
             new -= 1
-            now = new + z * (last - new)
+            now = last - new
+            now *= z
+            now += new
             h = now
             out.append(now)
             if keep:
@@ -143,10 +155,14 @@ class Network:
         out = np.zeros(len(ids), np.float64)
         for index, h, _ in self.windows(packed, ids, start_id, False):
             c = classes[index]
-            out[index] = log_softmax(h @ self.p["wc"] + self.p["bc"])[np.arange(len(c)), c]
+            x = h @ self.p["wc"]
+            x += self.p["bc"]
+            out[index] = softmax(x, c, False)
             for k, rows in self._by_class(c):
                 at = index[rows]
-                out[at] += log_softmax(h[rows] @ self.p["ww"][k] + self.p["bw"][k])[np.arange(len(rows)), ids[at] - k * self.shape.per_class]
+                x = h[rows] @ self.p["ww"][k]
+                x += self.p["bw"][k]
+                out[at] += softmax(x, ids[at] - k * self.shape.per_class, False)
         return out
 
     def _by_class(self, c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -162,15 +178,13 @@ class Network:
         p, n = self.p, self.shape.hidden
         g = {k: np.zeros(s, F32) for k, s in self.shape.sizes().items()}
         c, scale = classes[index], F32(1 / len(index))
-        d = np.exp(log_softmax(h @ p["wc"] + p["bc"]))
-        d[np.arange(len(c)), c] -= 1
+        d = softmax(h @ p["wc"] + p["bc"], c, True)
         d *= scale
         g["wc"], g["bc"] = h.T @ d, d.sum(0)
         dh = d @ p["wc"].T
         for k, rows in self._by_class(c):
             y = h[rows]
-            d = np.exp(log_softmax(y @ p["ww"][k] + p["bw"][k]))
-            d[np.arange(len(rows)), ids[index[rows]] - k * self.shape.per_class] -= 1
+            d = softmax(y @ p["ww"][k] + p["bw"][k], ids[index[rows]] - k * self.shape.per_class, True)
             d *= scale
             g["ww"][k], g["bw"][k] = y.T @ d, d.sum(0)
             dh[rows] += d @ p["ww"][k].T

@@ -10,6 +10,7 @@ from . import chat_format, quality_mil, warc
 from .common import Scratch, table
 from .decontaminate import find_leaks
 from .jaccard_join import jaccard_components
+from .lm_score import score_documents
 from .mixing import mix, mix_oracle
 from .pii import pii_report
 from .quality_rules import repetition_rules
@@ -19,6 +20,10 @@ from .secret_scan import scan_secrets
 BLOCK_CHARS = 100_000
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=5, percent=80)
 
@@ -62,6 +67,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_mix_sources": op3_mix_sources,
     "op4_repetition_rules": op4_repetition_rules,
