@@ -102,6 +102,13 @@ def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
     return found.withColumn(text_col, F.expr(f"CASE WHEN size(pii) > 0 THEN {done} ELSE {text} END"))
 
 
+def redact_documents(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+    """docs, the same columns whatever their names, with personal data in the texts replaced."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    done = redact(find_pii(whole, kinds=kinds))
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, counts of the base kinds, base_sha256, spans, n_more, scores) per row of docs."""
     found = find_pii(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))

@@ -25,7 +25,8 @@ FEATURES = SHAPES + WORDS + RATES
 HIDDEN, GATES = 32, 16
 #: Labelled documents that the model is fitted on, at most, and the longest of them in characters.
 FIT_DOCS, FIT_CHARS = 4096, 20_000
-EPOCHS, BATCH, RATE = 12, 64, 0.004
+#: Passes over them, and more where that gives fewer steps than LEAST_STEPS.
+EPOCHS, LEAST_STEPS, BATCH, RATE = 12, 600, 64, 0.004
 THRESHOLD = 0.7
 
 _CLASS = np.zeros(256, np.uint8)  # kinds of bytes: other ASCII marks have kinds of their own
@@ -135,8 +136,10 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Model:
         bags += [x[s:e].copy() for s, e in zip(b[:-1], b[1:], strict=True)]
     rng = np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
-    step, steps = 0, EPOCHS * -(-len(bags) // BATCH)
-    for _ in range(EPOCHS):
+    batches = -(-len(bags) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+    step, steps = 0, epochs * batches
+    for _ in range(epochs):
         order = rng.permutation(len(bags))
         for k in range(0, len(order), BATCH):
             pick = order[k : k + BATCH]

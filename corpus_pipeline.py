@@ -41,7 +41,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts by the names of its kinds; n_chars follows the text."""
-    out = pii.redact(pii.find_pii(docs)).select(*docs.columns)
+    out = pii.redact_documents(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
