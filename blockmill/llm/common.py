@@ -124,6 +124,22 @@ def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListA
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
 
 
+def largest(counts: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows of (key, n) of the largest n, at most about `most`: whole bins of n, and a share by hash of the next one.
+
+    The least n comes from a histogram, so that no task gathers the largest rows of all others.
+    """
+    binned = counts.withColumn("_bin", F.floor(F.log2("n") * 16).cast("int"))
+    least, part, share, left = 1 << 30, -1, 0, most
+    for r in sorted(binned.groupBy("_bin").count().collect(), key=lambda r: -r["_bin"]):
+        if r["count"] > left:
+            part, share = r["_bin"], int(0.95 * left / r["count"] * (1 << 20))
+            break
+        least, left = r["_bin"], left - r["count"]
+    drawn = (F.col("_bin") == part) & (F.pmod(F.xxhash64(key, F.lit("cut")), F.lit(1 << 20)) < share)
+    return binned.where((F.col("_bin") >= least) | drawn).drop("_bin")
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of n indexes over the links a-b."""
     label = np.arange(n)

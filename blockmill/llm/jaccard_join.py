@@ -23,13 +23,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import Scratch, components, lists, offsets, roots, slices, starts_of_runs, texts_of, whole_runs
+from .common import Scratch, components, largest, lists, offsets, roots, slices, starts_of_runs, texts_of, whole_runs
 
 U = np.uint64
 #: Frequent shingles are counted in runs of this many shingles; one must occur so often in a run to be seen there.
@@ -265,7 +264,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    heavy, rank = _frequent(docs, size, percent)
+    heavy, rank = _frequent(docs, size, scratch)
     sent = spark.sparkContext.broadcast((heavy, rank))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +302,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     return out.selectExpr("doc_id", "n AS n_shingles", f"CASE WHEN {blank} THEN doc_id ELSE label END AS component_id", f"CASE WHEN {blank} THEN doc_id ELSE rep END AS class_id")
 
 
-def _frequent(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(docs: DataFrame, size: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles (sorted) and the rank of each, 1 or more: the logarithm of its count over all documents."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,10 +327,11 @@ def _frequent(docs: DataFrame, size: int, percent: int) -> tuple[np.ndarray, np.
         if total:
             yield flush()
 
-    top = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).toPandas()
-    token = top["token"].to_numpy(np.int64, na_value=0).view(np.uint64)
+    counts = scratch.write(docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "frequent")
+    top = largest(counts, "token", FREQUENT_MOST).toArrow()
+    token = top.column("token").to_numpy().view(np.uint64)
     order = np.argsort(token)
-    return token[order], (1 + np.log2(np.maximum(top["n"].to_numpy(np.float64), 1))).astype(np.int64)[order]
+    return token[order], (1 + np.log2(top.column("n").to_numpy().astype(np.float64))).astype(np.int64)[order]
 
 
 def _prefixes(x, bounds, heavy, rank, percent):
