@@ -21,7 +21,7 @@ SLOTS, SLOTS_PER_SOURCE = 1024, 8
 #: More sources than this must be grouped first (the frame is planned on the driver).
 SOURCES_MOST = 20_000
 #: Documents whose order and offsets are worked out in one group; a source has as many groups as it needs.
-GROUP = 20_000
+GROUP = 5_000
 
 
 def quotas(weights: dict[str, int], slots: int) -> dict[str, int]:
