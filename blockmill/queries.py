@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.expressions import expression
+from .functions.registry import Registry
 from .operators import blocks, cube, dictionary, joins, rows, window
 from .operators.aggregates import Aggregate as A
 from .operators.aggregates import group
@@ -321,6 +323,47 @@ def cube_user_aggregate(spark, d):
     return cube.cube(table(spark, d, "lineitem"), _DIMS, [A("USER", ("l_linenumber",), "squares", user=lambda x: F.sum((x * x).cast("long")))])
 
 
+@query("SELECT l_returnflag, l_linestatus, max(l_quantity) - min(l_quantity) AS spread FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_pandas_aggregate(spark, d):
+    @F.pandas_udf("double")
+    def spread(v: pd.Series) -> float:
+        return float(v.max() - v.min())
+
+    return cube.cube(table(spark, d, "lineitem"), _DIMS, [A("USER", ("l_quantity",), "spread", user=spread)])
+
+
+# --- users' functions and operators ---------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_totalprice * 2 + 1 AS doubled, strlen(o_orderpriority) AS letters FROM orders")
+def user_function(spark, d):
+    r = Registry()
+    r.function("twice", lambda x: x * 2)
+    r.function("letters", F.pandas_udf(lambda s: s.str.len(), "bigint"))
+    df = table(spark, d, "orders")
+    return rows.generate(df, ("o_orderkey", F.col("o_orderkey")), ("doubled", expression("twice(o_totalprice) + 1", df, r)), ("letters", expression("letters(o_orderpriority)", df, r)))
+
+
+@query("SELECT n_nationkey, n_name, k AS part FROM nation, (SELECT unnest(['a', 'b']) AS k) WHERE n_regionkey = 1")
+def user_tuple_operator(spark, d):
+    def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part in ("a", "b"):
+                yield b.assign(part=part)
+
+    return where(table(spark, d, "nation"), "n_regionkey == 1").select("n_nationkey", "n_name").mapInPandas(both, "n_nationkey int, n_name string, part string")
+
+
+@query("SELECT event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL")
+def user_block_operator(spark, d):
+    def fold(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"event_type": [b["event_type"].iloc[0]], "n": [len(b)], "most": [b["value"].max()]})
+
+    # the operator's contract is a whole block at once: blocks here are small groups, folded again afterwards
+    parts = table(spark, d, "events").select("event_type", "value", F.pmod("user_id", F.lit(16)).alias("block")).groupBy("event_type", "block").applyInPandas(fold, "event_type string, n long, most double")
+    return group(parts, ["event_type"], [A("SUM", ("n",), "n"), A("MAX", ("most",), "most")])
+
+
 # --- rank, top, rows ------------------------------------------------------------------------------------------------
 
 
