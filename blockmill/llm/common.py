@@ -163,23 +163,21 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, label): the smallest node reachable, for each node of the links (a, b) of longs.
 
     Alternates the large-star and small-star steps of distributed connected components. Each step is an aggregate of
-    least neighbours and an equi-join, so that no neighbourhood is gathered anywhere.
+    least neighbours and an equi-join, so that no neighbourhood is gathered anywhere. edges should be cheap to read twice.
     """
-    spark = edges.sparkSession
-    now = scratch.write(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), f"{name}-0")
+    now = edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b")
     step = 0
     while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").selectExpr("b AS a", "m AS b").where("a <> b").distinct()
+        large = scratch.write(both.where("b > a").join(least, "a").selectExpr("b AS a", "m AS b"), f"{name}-large-{step}")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").selectExpr("b AS a", "m AS b").where("a <> b").union(down.selectExpr("a", "m AS b")).distinct()
-        step += 1
         new = scratch.write(small, f"{name}-{step}")
         # done when every node has one link, to a node that has none
-        many = new.groupBy("a").count().where("count > 1").limit(1).count()
-        if not many and not new.join(new.selectExpr("a AS b").distinct(), "b", "left_semi").limit(1).count():
-            scratch.drop(f"{name}-{step - 1}")
+        ends = new.selectExpr("a AS node", "1 AS up", "0 AS down").union(new.selectExpr("b AS node", "0 AS up", "1 AS down"))
+        unsettled = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").agg(F.count("*")).first()[0]
+        scratch.drop(f"{name}-large-{step}", *([f"{name}-{step - 1}"] if step else []))
+        if not unsettled:
             return new.selectExpr("a AS node", "b AS label").union(new.selectExpr("b AS node", "b AS label").distinct())
-        scratch.drop(f"{name}-{step - 1}")
-        now = new
+        now, step = new, step + 1

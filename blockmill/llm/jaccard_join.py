@@ -37,9 +37,11 @@ COUNT_RUN, COUNT_LEAST = 1_000_000, 3
 FREQUENT_MOST = 65_536
 #: Bits of a bitmap: a power of two, a multiple of the set's size within these bounds.
 BITS_LEAST, BITS_MOST = 64, 32_768
-LEAF, FAN = 16, 8
-#: Members of a block, and tokens in a block of real sets.
-BLOCK, BLOCK_TOKENS = 256, 200_000
+LEAF, FAN = 32, 8
+#: Members of a cell of bitmaps; larger blocks of one token are pairs of cells.
+CELL = 2048
+#: Members of a block of real sets, and tokens in it.
+BLOCK, BLOCK_TOKENS = 512, 200_000
 
 
 # --- sets -----------------------------------------------------------------------------------------------------------
@@ -359,13 +361,13 @@ def _blocks(percent: int):
             token, rep, n = (t.column(c).to_numpy() for c in ("token", "rep", "n"))
             at = starts_of_runs(token)
             count = np.diff(at)
-            pick = np.flatnonzero((count >= 2) & (count <= BLOCK))
+            pick = np.flatnonzero((count >= 2) & (count <= CELL))
             if len(pick):
                 starts, sizes = at[pick], count[pick]
                 bounds = np.concatenate(([0], np.cumsum(sizes)))
                 members = rep[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])]
                 yield _batch(members, np.zeros(len(members), np.int8), bounds)
-            for k in np.flatnonzero(count > BLOCK).tolist():
+            for k in np.flatnonzero(count > CELL).tolist():
                 cells = list(_cells(rep[at[k] : at[k + 1]], n[at[k] : at[k + 1]], percent))
                 out: list[tuple[np.ndarray, np.ndarray]] = []
                 for i, (one, _, hi) in enumerate(cells):
@@ -389,7 +391,7 @@ def _cells(rep: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.nd
     at = starts_of_runs(step)  # rows are in order of size
     for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         parts = 1
-        while (e - s) > parts * BLOCK // 2:
+        while (e - s) > parts * CELL:
             parts *= 2
         part = T.mix(rep[s:e].view(np.uint64)) % U(parts)
         for k in range(parts):

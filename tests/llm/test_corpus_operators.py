@@ -125,7 +125,7 @@ def test_join_of_large_groups(spark):
     rng = random.Random(6)
     base, shared = _words(rng, 60), _words(rng, 12, "s")
     rows, n = [], 0
-    for _ in range(700):
+    for _ in range(2300):
         w = list(base)
         w[rng.randrange(60)] = f"c{rng.randrange(10**6)}"
         rows.append((n, " ".join(w)))
@@ -137,9 +137,9 @@ def test_join_of_large_groups(spark):
     n += 50
     rows += [(n + k, " ".join(shared + _words(rng, 40, "u"))) for k in range(600)]
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
-    assert {got[k] for k in range(1000)} == {0}
-    assert {got[1000 + k] for k in range(50)} == {1000}
-    assert all(got[1050 + k] == 1050 + k for k in range(600))
+    assert {got[k] for k in range(2600)} == {0}
+    assert {got[2600 + k] for k in range(50)} == {2600}
+    assert all(got[2650 + k] == 2650 + k for k in range(600))
 
 
 def test_components_of_chains_and_stars(spark):
