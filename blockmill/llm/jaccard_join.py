@@ -260,8 +260,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     component_id is the smallest id reachable by links, class_id the smallest id with the very same set.
 
     Null, empty and blank texts: n_shingles 0, linked with nothing, component_id the own id. A null id: the row is
-    returned, with null component_id, and links with nothing. Repeated rows: each is returned, in one component. An id
-    repeated with another text is one vertex. Other columns are ignored, whatever their names. No rows: no rows.
+    returned, with null component_id, and links with nothing. Repeated rows: each is returned, in one component. Rows
+    that repeat an id with another text each have the component of their own text; where such an id is the smallest of
+    both texts' classes it is one vertex, with the links of both. Other columns are ignored, whatever their names. No rows: no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -285,7 +286,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     some = made.where("n > 0 AND doc_id IS NOT NULL")
     classes = scratch.write(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     # a class is known by its smallest id from here on
-    mine = some.join(classes, ["k1", "k2", "n"]).where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n", "map", "prefix")
+    mine = some.join(classes, ["k1", "k2", "n"]).where("doc_id = rep").dropDuplicates(["rep", "k1", "k2"]).select("rep", "n", "map", "prefix")
     mine = scratch.write(mine, "mine")
     dealt = mine.select(F.explode("prefix").alias("token"), "rep", "n")
     blocks = dealt.repartition(F.col("token")).sortWithinPartitions("token", "n", "rep").mapInArrow(_blocks(percent), "block long, first int, members array<long>")
@@ -440,10 +441,10 @@ def _exact(docs: DataFrame, near: DataFrame, size: int, percent: int, scratch: S
                 x, bounds = _sets(part, size)
                 k1, k2 = _keys(x, bounds)
                 ok = pa.array((k1.view(np.int64) == part.column("k1").to_numpy()) & (k2.view(np.int64) == part.column("k2").to_numpy()))
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("label"), part.column("n"), lists(x.view(np.int64), bounds, pa.int64())], ["node", "label", "n", "tokens"]).filter(ok)
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("label"), part.column("n"), part.column("k1"), part.column("k2"), lists(x.view(np.int64), bounds, pa.int64())], ["node", "label", "n", "k1", "k2", "tokens"]).filter(ok)
 
     texts = docs.join(near.withColumnRenamed("node", "doc_id"), "doc_id").selectExpr("doc_id AS node", "label", "n", "k1", "k2", "text")
-    held = scratch.write(texts.mapInArrow(again, "node long, label long, n long, tokens array<long>").dropDuplicates(["node"]), "held")
+    held = scratch.write(texts.mapInArrow(again, "node long, label long, n long, k1 long, k2 long, tokens array<long>").dropDuplicates(["node", "k1", "k2"]).drop("k1", "k2"), "held")
 
     # blocks of a group: by size (a step of the logarithm to base 100 / percent), then by hash; small groups are one block
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int") if percent < 100 else F.col("n").cast("int")

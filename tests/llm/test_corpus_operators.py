@@ -120,6 +120,13 @@ def test_join_against_brute_force(spark):
     assert jaccard_join.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_ids_with_two_texts(spark):
+    a, b, c = (" ".join(f"{k}{j}" for j in range(30)) for k in "abc")
+    rows = [(1, a), (1, b), (2, f"{a} x"), (3, f"{b} y"), (4, c), (5, c), (5, f"{b} z")]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (5, 4)]
+
+
 def test_join_of_large_groups(spark):
     """Near copies beyond a block, a chain that only neighbours link, many exact copies, and a passage that all share."""
     rng = random.Random(6)
