@@ -204,6 +204,28 @@ def test_masks_find_two_substitutions():
         assert any(all(s + o not in bad for o in m) for m in decontaminate.MASKS for s in range(decontaminate.WINDOW - m[-1]))
 
 
+def test_masks_find_three_substitutions():
+    from itertools import combinations
+
+    window = decontaminate.WINDOW
+    hit = lambda masks, size, bad: any(all(s + o not in bad for o in m) for m in masks for s in range(size - m[-1]))
+    assert all(hit(decontaminate.MASKS, window, bad) for bad in combinations(range(window), 3))
+    assert decontaminate.complete(decontaminate.MASKS, window, decontaminate.PERCENT) == decontaminate.MASKS
+    for size, percent in ((13, 60), (8, 75), (20, 70)):  # other shares: a further mask
+        masks = decontaminate.complete(decontaminate.MASKS, size, percent)
+        assert all(hit(masks, size, bad) for bad in combinations(range(size), size - -(-percent * size // 100)))
+
+
+def test_leaks_with_every_fourth_word_replaced(spark):
+    item = [f"w{k}" for k in range(59)]
+    docs = [(p, " ".join("other" if k % 4 == p else w for k, w in enumerate(item))) for p in range(4)]
+    frame = spark.createDataFrame([*docs, (9, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert _brute_leaks(docs, [(1, " ".join(item))]) == {(p, 1) for p in range(4)}
+    assert sorted(r.doc_id for r in decontaminate.find_leaks(frame, bench).collect()) == [0, 1, 2, 3]
+    assert [r.doc_id for r in decontaminate.drop_leaks(frame, bench).collect()] == [9]
+
+
 def _brute_leaks(docs, items, window=13, percent=75):
     import re
 
