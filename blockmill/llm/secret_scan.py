@@ -4,13 +4,14 @@ A credential is often stored in parts: an access identifier, a secret, an endpoi
 text, so weak candidates are proposed as intervals, and a sorted interval join within the text's scopes (stretches of
 lines without a blank line between, and at most `reach` bytes apart) links them. A weak secret is reported only if an
 identifier or an endpoint lies within reach in its scope, and likewise an identifier or endpoint only beside a secret.
+A secret's credential lists every identifier and endpoint within reach, and names the nearest of each kind.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from math import log2
 
@@ -33,7 +34,7 @@ SECRET = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Z
 HINT = re.compile(rb"(?i:id|key|name)[\"']?\x20*[:=]|://")
 #: Kinds in the order that parts ties of start.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long, credentials array<struct<scope:long,identifier:string,secret:string,endpoint:string>>"
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long, credentials array<struct<scope:long,identifier:string,secret:string,endpoint:string,identifiers:array<string>,endpoints:array<string>>>"
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, str]]:
@@ -71,25 +72,21 @@ def link(text: bytes, strong: list[tuple[int, int, str]], reach: int) -> tuple[l
     begin = scopes(text)
     scope = lambda x: bisect_left(begin, x[0] + 1)
     secrets = sorted({*weak["secret"], *((s, e) for s, e, _ in strong)})
-    spans, found = set(), []
-    partners = {}
-    for kind in ("identifier", "endpoint"):  # interval join: the nearest part of each kind, within reach and scope
+    spans, found, known = set(), [], set(weak["secret"])
+    near = {x: {} for x in secrets}
+    for kind in ("identifier", "endpoint"):  # interval join: the parts of each kind, which don't overlap, within reach and scope
         parts = weak[kind]
-        starts = [s for s, _ in parts]
+        starts, ends = [s for s, _ in parts], [e for _, e in parts]
         for x in secrets:
-            near = []
-            at = bisect_left(starts, x[0])
-            for y in parts[max(0, at - 2) : at + 2]:
-                gap = max(y[0] - x[1], x[0] - y[1])
-                if 0 <= gap <= reach and scope(x) == scope(y):
-                    near.append((gap, y))
-            if near:
-                partners.setdefault(x, {})[kind] = min(near)[1]
-    for x, others in partners.items():
-        found.append((scope(x), {"secret": x, **others}))
-        if x in weak["secret"]:
+            some = parts[bisect_left(ends, x[0] - reach) : bisect_right(starts, x[1] + reach)]
+            near[x][kind] = [(gap, y) for y in some if (gap := max(y[0] - x[1], x[0] - y[1])) >= 0 and scope(x) == scope(y)]
+    for x, others in near.items():
+        if not any(others.values()):
+            continue
+        found.append((scope(x), {"secret": x, **{kind: min(some)[1] for kind, some in others.items() if some}, **{f"{kind}s": [y for _, y in some] for kind, some in others.items()}}))
+        if x in known:
             spans.add((*x, "secret"))
-        spans |= {(*y, kind) for kind, y in others.items()}
+        spans |= {(*y, kind) for kind, some in others.items() for _, y in some}
     return sorted(spans), found
 
 
@@ -126,8 +123,8 @@ def scan_secrets(docs: DataFrame, reach: int = 400, id_col: str = "doc_id", text
                     out["base_sha256"].append(hashlib.sha256(joined(points).encode()).hexdigest())
                     out["spans"].append(joined(in_points(text, strong + more)) if more else joined(points))
                     out["n_linked"].append(len(found))
-                    out["credentials"].append([{"scope": n, **{k: text[slice(*x[k])].decode() if k in x else None for k in ("identifier", "secret", "endpoint")}} for n, x in found])
-                kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.list_(pa.struct([("scope", pa.int64()), ("identifier", pa.string()), ("secret", pa.string()), ("endpoint", pa.string())]))]
+                    out["credentials"].append([{"scope": n, **{k: text[slice(*x[k])].decode() if k in x else None for k in ("identifier", "secret", "endpoint")}, **{k: [text[slice(*y)].decode() for y in x[k]] for k in ("identifiers", "endpoints")}} for n, x in found])
+                kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.list_(pa.struct([("scope", pa.int64()), *((k, pa.string()) for k in ("identifier", "secret", "endpoint")), *((k, pa.list_(pa.string())) for k in ("identifiers", "endpoints"))]))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], ["doc_id", *out])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)

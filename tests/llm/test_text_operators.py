@@ -116,6 +116,19 @@ def test_linked_credentials():
     assert secret_scan.link(f"client_id: web\n{'x ' * 300}{weak}".encode(), [], 400) == ([], [])
 
 
+def test_every_part_within_reach(spark):
+    weak = "Zq8Lm2Xv9Tt4Rw7Yb1Nc5Kd3"
+    text = f"tenant_id: blue\nclient_id: web-front\nendpoint https://a.example.com/v1\nbackup https://b.example.com/v1\nkey is {weak} here\n\napp_id: other"
+    spans, found = secret_scan.link(text.encode(), [], 400)
+    assert [k for *_, k in spans] == ["identifier", "identifier", "endpoint", "endpoint", "secret"]
+    assert secret_scan.link(text.encode(), [], 39)[0] == spans[3:]
+    r = secret_scan.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_linked, r.spans.count("identifier:"), r.spans.count("endpoint:")) == (1, 2, 2)
+    c = r.credentials[0]
+    assert (c.identifier, c.secret, c.endpoint) == ("client_id: web-front", weak, "https://b.example.com/v1")
+    assert c.identifiers == ["tenant_id: blue", "client_id: web-front"] and c.endpoints == ["https://a.example.com/v1", "https://b.example.com/v1"]
+
+
 # --- personal data --------------------------------------------------------------------------------------------------
 
 PARTS = ["a@b.c", "a.b+c@d-e.org_x@y.zz", "@", ".", "1", "42", "192.168.0.1", "999.1.1.1", "0000255.1.2.3", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (212) 555-0100", "+", "-", " ", "(", "é😀", "\n", "79927398713", "00000000000000", "\x01"]
