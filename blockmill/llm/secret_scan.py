@@ -27,10 +27,10 @@ BASE = {
     "access": re.compile(rb"AKIA[A-Z0-9]+"),
     "hex": re.compile(rb"[0-9a-f]{24,}"),
 }
-#: Weak parts of a credential.
-IDENTIFIER = re.compile(rb"(?i:client|account|access|tenant|app|user)[_\x20-]?(?i:id|key|name)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{4,128})")
-ENDPOINT = re.compile(rb"[a-z][a-z0-9+]{1,9}://[A-Za-z0-9._~:/?#@!$&'()*+,;=%-]{4,512}")
-SECRET = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Weak parts of a credential, however long; each run of characters is read once.
+IDENTIFIER = re.compile(rb"(?i:client|account|access|tenant|app|user)[_\x20-]?(?i:id|key|name)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{4,})")
+ENDPOINT = re.compile(rb"(?<![a-z0-9+])[0-9+]*+([a-z][a-z0-9+]++://[A-Za-z0-9._~:/?#@!$&'()*+,;=%-]{4,}+)")
+SECRET = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 HINT = re.compile(rb"(?i:id|key|name)[\"']?\x20*[:=]|://")
 #: Kinds in the order that parts ties of start.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -52,10 +52,12 @@ def weak_parts(text: bytes) -> dict[str, list[tuple[int, int]]]:
     """Candidates by kind, in order of start. A weak secret mixes letters and digits and has 3.5 bits a byte or more."""
     if not HINT.search(text):
         return {}
-    found = {"identifier": [m.span() for m in IDENTIFIER.finditer(text)], "endpoint": [m.span() for m in ENDPOINT.finditer(text)]}
+    found = {"identifier": [m.span() for m in IDENTIFIER.finditer(text)], "endpoint": [m.span(1) for m in ENDPOINT.finditer(text)]}
     if not found["identifier"] and not found["endpoint"]:
         return {}
-    found["secret"] = [m.span() for m in SECRET.finditer(text) if re.search(rb"[0-9]", m[0]) and re.search(rb"[A-Za-z]", m[0]) and entropy(m[0]) >= 3.5 and not any(s <= m.start() < e for s, e in found["endpoint"])]
+    starts = [s for s, _ in found["endpoint"]]
+    inside = lambda x: (k := bisect_right(starts, x)) > 0 and x < found["endpoint"][k - 1][1]
+    found["secret"] = [m.span() for m in SECRET.finditer(text) if re.search(rb"[0-9]", m[0]) and re.search(rb"[A-Za-z]", m[0]) and not inside(m.start()) and entropy(m[0]) >= 3.5]
     return found
 
 

@@ -129,6 +129,25 @@ def test_every_part_within_reach(spark):
     assert c.identifiers == ["tenant_id: blue", "client_id: web-front"] and c.endpoints == ["https://a.example.com/v1", "https://b.example.com/v1"]
 
 
+def test_parts_without_spaces_and_long_parts():
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("ABCDEFGHabcdefgh0123456789") for _ in range(n - 2)) + "a1"
+
+    def parts(text):
+        spans, found = secret_scan.link(text.encode(), [], 400)
+        return [(k, text[s:e]) for s, e, k in spans], len(found)
+
+    key, long = some(41), some(3000)
+    assert parts(f"client_id=abcd1234\nsigning_key={key}") == ([("identifier", "client_id=abcd1234"), ("secret", key)], 1)
+    key = some(86) + "=="
+    assert ("secret", key) in parts(f"AccountName=contoso1;AccountKey={key};")[0]
+    assert parts(f"client_id: web1\nsession {long}") == ([("identifier", "client_id: web1"), ("secret", long)], 1)
+    url, name = "postgresql+psycopg2://h/" + "p/" * 700, "n" * 500
+    assert parts(f"at {url} and {key}") == ([("endpoint", url), ("secret", key)], 1)
+    assert parts(f"user name: {name}\nis {key}")[0][0] == ("identifier", f"user name: {name}")
+    assert parts(f"7https://a.bc/d {key}")[0][0] == ("endpoint", "https://a.bc/d")
+
+
 # --- personal data --------------------------------------------------------------------------------------------------
 
 PARTS = ["a@b.c", "a.b+c@d-e.org_x@y.zz", "@", ".", "1", "42", "192.168.0.1", "999.1.1.1", "0000255.1.2.3", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (212) 555-0100", "+", "-", " ", "(", "é😀", "\n", "79927398713", "00000000000000", "\x01"]
