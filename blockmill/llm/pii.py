@@ -2,7 +2,7 @@
 
 Everything is DataFrame functions. A pattern's matches are marked in the text with a character that the text doesn't have,
 the text is split there, and the pieces' lengths give the matches' places. Patterns are written so that they take time in
-proportion to the text (possessive, and begun only where a run begins).
+proportion to the text (possessive, or of bounded length, and begun only where a run begins).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ MAIL = "A-Za-z0-9._%+-"
 
 @dataclass(frozen=True)
 class Kind:
-    """quick: what any match holds. check: SQL over the match m. base: reported whatever its score. words: nearby words that raise the score."""
+    """quick: what any match holds. check: SQL over the match m. base: reported whatever its score. words: nearby words that raise the score. retry: the pattern is tried at every place, and on a failed check the match is tried without its last words."""
 
     name: str
     pattern: str
@@ -27,6 +27,7 @@ class Kind:
     confirmed: float
     base: bool
     words: str
+    retry: bool = False
 
 
 _DIGITS = "regexp_replace(m, '[^0-9]', '')"
@@ -41,7 +42,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", r"[0-9]\.[0-9]", _PARTS, 0.7, True, r"\bip\b|host|server|address|adresse|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){13}", f"length({_DIGITS}) BETWEEN 14 AND 19 AND luhn_check({_DIGITS})", 0.8, True, "card|visa|master|credit|karte|carte|tarjeta|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15", 0.7, True, "phone|call|mobile|whatsapp|telefon|anruf|appel|llam"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", f"length({_IBAN}) BETWEEN 15 AND 34 AND {_MOD97}", 0.8, False, "iban|bank|account|konto|compte|cuenta"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", f"length({_IBAN}) BETWEEN 15 AND 34 AND {_MOD97}", 0.8, False, "iban|bank|account|konto|compte|cuenta", True),
     # without a checksum: reported only beside words that say what it is
     Kind("national_phone", r"(?<![0-9+(.-])\(?0[0-9]{2,4}\)?[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,5}(?![0-9])", "0[0-9]{2}", "true", 0.3, False, "phone|call|mobile|whatsapp|telefon|anruf|appel|llam|tel"),
 )
@@ -58,12 +59,19 @@ def _q(text: str) -> str:
 def _found(rank: int, k: Kind) -> str:
     """Array of spans of a kind in `_text`."""
     none = f"cast(array() AS array<{SPAN}>)"
-    pieces = f"split(regexp_replace(_text, {_q(k.pattern)}, '{MARK}$0{MARK}'), '{MARK}')"
+    if k.retry:  # copies of the matches, which may overlap, go before their places; of each the longest start that passes
+        copies = f"split(regexp_replace(_text, {_q(f'(?=({k.pattern}))')}, '{MARK}$1{MARK}'), '{MARK}')"
+        starts = "transform(sequence(size(split(p, ' ')), 1, -1), n -> array_join(slice(split(p, ' '), 1, n), ' '))"
+        pieces = f"transform({copies}, (p, i) -> CASE WHEN i % 2 = 1 THEN coalesce(get(filter({starts}, m -> {k.check}), 0), '') ELSE p END)"
+        passes, step_at = "m <> '' AND coalesce(try_element_at(a.spans, -1).end, 0) <= a.at", "CASE WHEN a.odd THEN 0 ELSE length(m) END"
+    else:
+        pieces = f"split(regexp_replace(_text, {_q(k.pattern)}, '{MARK}$0{MARK}'), '{MARK}')"
+        passes, step_at = k.check, "length(m)"
     # a step for each piece: odd ones are matches; what the check drops is passed over
     near = f"lower(concat(substring(_text, greatest(a.at - {CONTEXT}, 0) + 1, a.at - greatest(a.at - {CONTEXT}, 0)), ' ', substring(_text, a.at + length(m) + 1, {CONTEXT})))"
     score = f"CAST({k.confirmed} + CASE WHEN {near} RLIKE {_q(k.words)} THEN {RAISE} ELSE 0.0 END - CASE WHEN {near} RLIKE {_q(AGAINST)} THEN {LOWER} ELSE 0.0 END AS DOUBLE)"
     span = f"named_struct('start', a.at, 'end', a.at + length(m), 'kind', '{k.name}', 'rank', {rank}, 'base', {str(k.base).lower()}, 'score', {score})"
-    step = f"(a, m) -> named_struct('at', a.at + length(m), 'odd', NOT a.odd, 'spans', CASE WHEN a.odd AND ({k.check}) THEN concat(a.spans, array({span})) ELSE a.spans END)"
+    step = f"(a, m) -> named_struct('at', a.at + {step_at}, 'odd', NOT a.odd, 'spans', CASE WHEN a.odd AND ({passes}) THEN concat(a.spans, array({span})) ELSE a.spans END)"
     spans = f"aggregate({pieces}, named_struct('at', 0, 'odd', false, 'spans', {none}), {step}, a -> a.spans)"
     spans = spans if k.base else f"filter({spans}, s -> s.score >= {LEAST})"
     return f"CASE WHEN _text RLIKE {_q(k.quick)} THEN {spans} ELSE {none} END"

@@ -180,6 +180,15 @@ def test_pii_scores_and_redaction(spark):
     assert done[0] == ("iban [IBAN] here", "keep") and done[5] == (None, "keep") and done[3][0] == texts[3]
 
 
+def test_iban_before_other_words(spark):
+    at, de = "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00"
+    texts = [f"IBAN {at} BIC BAWA", f"IBAN {at.replace(' ', '')} EUR 50", f"IBAN {at} Bank", f"IBAN {at} BANK", f"IBAN {at} {de} EUR", f"é AB12 {at}", f"IBAN {at}", f"IBAN {at[:-1]}2 BIC", f"{at}\n{at}"]
+    found = {r.doc_id: r.spans for r in pii.pii_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {0: "iban:5:29", 1: "iban:5:25", 2: "iban:5:29", 3: "iban:5:29", 4: "iban:5:29,iban:30:57", 5: "iban:7:31", 6: "iban:5:29", 7: "", 8: "iban:0:24,iban:25:49"}
+    done = [r.text for r in pii.redact_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert done[0] == "IBAN [IBAN] BIC BAWA" and done[4] == "IBAN [IBAN] [IBAN] EUR"
+
+
 # --- chat -----------------------------------------------------------------------------------------------------------
 
 
