@@ -235,6 +235,18 @@ def test_chat_layouts(spark):
         assert (out[k].layout, [(t.role, t.text) for t in out[k].turns]) == (layout, turns), payloads[k]
 
 
+def test_chat_turns_of_any_length(spark):
+    n = 21_000_000
+    rows = spark.sql(f"SELECT 1L AS conv_id, 0L AS turn, 'human' AS role, 'short' AS text UNION ALL SELECT 1L, 1L, 'assistant', repeat('x', {n})")
+    formatted = chat_format.format_conversations(rows)
+    r = formatted.selectExpr("layout", "fingerprint", "transform(turns, t -> concat(t.role, ' ', length(t.text))) AS said").first()
+    assert (r.layout, r.fingerprint, r.said) == ("messages", chat_format.MAPPINGS[0].fingerprints()[0], ["user 5", f"assistant {n}"])
+    got = chat_format.digests(formatted).first()
+    assert (got.n_turns, got.loss_chars) == (2, n)
+    records = spark.sql(f"""SELECT '{{"messages":[{{"role":"user","content":"' || repeat('x', {n}) || '"}}]}}' AS payload UNION ALL SELECT '{{"prompt":"p","response":"' || repeat('x', {n}) || '"}}'""")
+    assert sorted((r.layout, r.n) for r in chat_format.canonical_turns(records).selectExpr("layout", "length(turns[size(turns) - 1].text) AS n").collect()) == [("messages", n), ("prompt_response", n)]
+
+
 # --- decontamination ------------------------------------------------------------------------------------------------
 
 
