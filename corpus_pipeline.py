@@ -22,16 +22,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays, that of the smallest id; of repeated rows of an id, one.
 
-    Documents without words, or without an id, are in no group and stay.
+    Rows that repeat an id with another text are documents of their own: what is no copy stays. Documents without words,
+    or without an id, are in no group and stay.
     """
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        # rows in place of ids: numbers in the order of the ids, written so that they hold
+        whole = docs.where("doc_id IS NOT NULL").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+        whole = whole.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text")).select(F.monotonically_increasing_id().alias("number"), "row", "text")
+        whole = Scratch(spark, "numbered").write(whole, "rows")
+        gone = _copies(whole.select(F.col("number").alias("doc_id"), "text")).withColumnRenamed("doc_id", "number")
+        kept = whole.join(gone, "number", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+        return kept.unionByName(docs.where("doc_id IS NULL"))
+    return docs.join(_copies(docs), "doc_id", "left_anti").select(*docs.columns)
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """Ids of documents that are linked with one of a smaller id."""
     found = jaccard_join.jaccard_components(docs, size=5, percent=80)
-    gone = found.where("doc_id IS NOT NULL AND n_shingles > 0 AND component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.limit(1).count():
-        many = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-        kept = kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(many)
-    return kept
+    return found.where("doc_id IS NOT NULL AND n_shingles > 0 AND component_id <> doc_id").select("doc_id").distinct()
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
