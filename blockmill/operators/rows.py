@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import Scratch
 from ..types import SchemaError, wider
 
 
@@ -126,16 +127,26 @@ def pivot_by_row(df: DataFrame, n: int, order_by: list[str], name: str = "_group
 def number(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
     """1, 2, … over all rows in the order of the columns, without gathering them in one task.
 
-    Rows are dealt by ranges of the order; each range is numbered by itself and begins where those before it end. Only the
-    ranges' sizes, a row for each, meet in one place. Ties are numbered in no fixed order: name enough columns.
+    Rows are dealt by ranges of the order, sorted in them, and written to the shared folder with their place (the range in
+    the upper bits). Sizes and rows are read from that one table, so that both know the same ranges; each range begins where
+    those before it end, and only the ranges' sizes meet in one place. Ties are numbered in no fixed order: name enough columns.
     """
     need(df, order_by)
+    placed = Scratch(df.sparkSession, "number").write(in_ranges(df, order_by, "_place"), "rows")
+    return placed.join(F.broadcast(starts(placed, "_place")), F.shiftright("_place", 33) == F.col("_part")).withColumn(name, F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_place", "_start")
+
+
+def in_ranges(df: DataFrame, order_by: list[str], place: str) -> DataFrame:
+    """Rows by ranges of the order, sorted, with a number that grows with it: the range in bits 33 and above, the row below."""
     by = [F.col(c).asc_nulls_first() for c in order_by]
-    tagged = df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
-    tagged = tagged.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*by)).cast("long"))
-    sizes = tagged.groupBy("_part").agg(F.count("*").alias("_n"))
-    start = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return tagged.join(F.broadcast(start), "_part").withColumn(name, F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
+    return df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(place, F.monotonically_increasing_id())
+
+
+def starts(placed: DataFrame, place: str, size: Column | None = None) -> DataFrame:
+    """(_part, _start): rows, or the sum of size, in the ranges before each. A row for each range."""
+    sizes = placed.groupBy(F.shiftright(place, 33).alias("_part")).agg((F.count("*") if size is None else F.sum(size)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
 
 
 def tee(df: DataFrame, write, columns: list[tuple[str, Column]] | None = None, predicate: Column | None = None, split: bool = False) -> DataFrame:
