@@ -7,6 +7,7 @@ learned from labels of whole documents. Everything is numpy; scoring runs where
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,8 @@ PASSAGE = 64
 SHAPES, WORDS, RATES = 512, 256, 10
 FEATURES = SHAPES + WORDS + RATES
 HIDDEN, GATES = 32, 16
-#: Labelled documents that the model is fitted on, at most, and the longest of them in characters.
-FIT_DOCS, FIT_CHARS = 4096, 20_000
+#: Labelled documents that the model is fitted on, at most, and passages of each, spread evenly over its whole text.
+FIT_DOCS, FIT_PASSAGES = 4096, 24
 #: Passes over them, and more where that gives fewer steps than LEAST_STEPS.
 EPOCHS, LEAST_STEPS, BATCH, RATE = 12, 600, 64, 0.004
 THRESHOLD = 0.7
@@ -121,7 +122,18 @@ class Model:
         return {k: g + np.float32(1e-5) * p[k] for k, g in out.items()}
 
 
-def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Model:
+def spread(n: int, most: int) -> list[int]:
+    """Of n places all, or `most` of them at even distances from the first to the last."""
+    return list(range(n)) if n <= most else [k * (n - 1) // max(1, most - 1) for k in range(most)]
+
+
+def bags_of(texts: list[bytes], most: int = FIT_PASSAGES) -> list[np.ndarray]:
+    """The passages that a model learns from, a bag for each text."""
+    x, b = features(texts)
+    return [x[s + np.array(spread(e - s, most))].astype(np.float16) for s, e in zip(b[:-1].tolist(), b[1:].tolist(), strict=True)]
+
+
+def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
     """Adam over bags. Without labels of either kind, every score is the share of label 1 (0.5 without any)."""
     model = Model.start()
     labels = labels.astype(np.float32)
@@ -130,10 +142,6 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Model:
     if len(set(labels.tolist())) < 2:
         model.p["c"][:] = 0
         return model
-    bags = []
-    for k in range(0, len(texts), 256):
-        x, b = features(texts[k : k + 256])
-        bags += [x[s:e].copy() for s, e in zip(b[:-1], b[1:], strict=True)]
     rng = np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(2))
     batches = -(-len(bags) // BATCH)
@@ -143,7 +151,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Model:
         order = rng.permutation(len(bags))
         for k in range(0, len(order), BATCH):
             pick = order[k : k + BATCH]
-            x = np.concatenate([bags[i] for i in pick])
+            x = np.concatenate([bags[i] for i in pick]).astype(np.float32)
             g = model.gradients(x, np.cumsum([0, *(len(bags[i]) for i in pick)]), labels[pick])
             step += 1
             rate = RATE * (1 - step / (steps + 1)) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
@@ -154,17 +162,30 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fits a model to labelled rows whose crc32(id as text) mod 4 isn't 2.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = FIT_DOCS, fit_passages: int = FIT_PASSAGES) -> Model:
+    """Fits a model to labelled documents whose crc32(id as text) mod 4 isn't 2, at most fit_docs of them.
 
-    Of those, at most FIT_DOCS (the first by a hash of the id) of FIT_CHARS characters or fewer. Null ids, labels and texts
-    are passed over.
+    They are the first by a hash of the id, whatever their length; of a text of more passages, fit_passages that are spread
+    evenly over all of it are learned from, so that the driver holds fit_docs * fit_passages passages of 1.6 KB at most. An id counts once:
+    of rows that repeat it with other texts, the text of the least hash is learned from; repeated labels count once, and
+    an id labelled both 0 and 1 is passed over. Null ids, labels and texts are passed over; empty texts are learned from.
+    Other columns are ignored, whatever their names. Without labelled rows every score is 0.5.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(id_hash("doc_id") % 4 != 2)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= FIT_CHARS)
-    light = texts.select("doc_id").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(FIT_DOCS)
-    rows = texts.join(F.broadcast(light), "doc_id").orderBy("doc_id", "y").toPandas()  # FIT_DOCS rows at most are sent
-    return fit([x.encode() for x in rows["text"]], rows["y"].to_numpy(np.float32))
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    chosen = known.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                bags = pa.array([zlib.compress(x.tobytes(), 1) for x in bags_of(texts_of(part.column("text")), fit_passages)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), part.column("h"), bags], ["id", "y", "h", "bag"])
+
+    rows = texts.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("id"), "y", F.xxhash64("text").alias("h"), "text")
+    bags = rows.mapInArrow(cut, "id long, y int, h long, bag binary").groupBy("id", "y").agg(F.min(F.struct("h", "bag")).alias("v"))
+    got = bags.select("id", "y", "v.bag").toArrow().sort_by("id")  # fit_docs rows at most are sent
+    return fit([np.frombuffer(zlib.decompress(x), np.float16).reshape(-1, FEATURES) for x in got.column("bag").to_pylist()], got.column("y").to_numpy().astype(np.float32))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,7 @@
+import math
 import os
 import random
+import re
 import sys
 import zlib
 from collections import Counter
@@ -199,7 +201,7 @@ def test_attention_weighs_the_telling_passage():
             parts[rng.randrange(len(parts))] = loud
         texts.append(" ".join(parts).encode())
         labels.append(0 if bad else 1)
-    model = quality_mil.fit(texts[:200], np.array(labels[:200]))
+    model = quality_mil.fit(quality_mil.bags_of(texts[:200]), np.array(labels[:200]))
     s = model.scores(texts[200:])
     assert ((s >= 0.5) == (np.array(labels[200:]) == 1)).mean() > 0.95
     x, bounds = quality_mil.features([" ".join([plain] * 4 + [loud]).encode()])
@@ -228,3 +230,56 @@ def test_quality_of_odd_tables(spark):
         assert len(rows) == len(odd) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
         assert quality_mil.keep_good(docs, model).columns == docs.columns
     assert quality_mil.score(docs.limit(0), quality_mil.train(docs.limit(0), labels)).count() == 0
+
+
+def _plain_score(model, x):
+    """The forward pass of one bag in plain Python."""
+    p = {k: v.tolist() for k, v in model.p.items()}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    times = lambda row, m: [sum(a * r[k] for a, r in zip(row, m, strict=True)) for k in range(len(m[0]))]
+    encoded = [[math.tanh(v + b) for v, b in zip(times(row, p["e"]), p["be"], strict=True)] for row in x]
+    raw = [sum(math.tanh(v) * sig(g) * a for v, g, a in zip(times(e, p["v"]), times(e, p["g"]), p["a"], strict=True)) for e in encoded]
+    weight = [math.exp(r) / sum(map(math.exp, raw)) for r in raw]
+    z = [sum(w * e[k] for w, e in zip(weight, encoded, strict=True)) for k in range(len(encoded[0]))]
+    return sig(sum(a * b for a, b in zip(z, p["c"], strict=True)) + p["c0"][0])
+
+
+def _plain_features(text):
+    """Rates of each passage of a text, in plain Python."""
+    words = [(m.start(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    rows = []
+    for at in range(0, max(1, len(words)), 64):
+        some = words[at : at + 64]
+        n = max(1, len(some))
+        marks = [sum(33 <= c < 127 and not chr(c).isalnum() for c in w) for _, w in some]
+        upper = [sum(65 <= c <= 90 for c in w) for _, w in some]
+        again = [any(j >= 0 and some[j][1] == w for j in (k - 1, k - 2)) for k, (_, w) in enumerate(some)]
+        means = [again, [len(w) / 8 for _, w in some], [m / 4 for m in marks], [m == 0 for m in marks], [u / 4 for u in upper], [u == len(w) for u, (_, w) in zip(upper, some, strict=True)], [len(w) == 1 for _, w in some], [len(w) > 20 for _, w in some], [s == 0 or text[s - 1] == 10 for s, _ in some]]
+        rows.append([sum(v) / n for v in means] + [math.log1p(len(some)) / 4])
+    return rows
+
+
+def test_scores_are_those_of_a_plain_forward_pass(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_mil.train(docs, labels)
+    rows = docs.where("doc_id % 97 = 0").collect()
+    got = {r.doc_id: r.score for r in quality_mil.score(docs.where("doc_id % 97 = 0"), model).collect()}
+    assert len(rows) > 5
+    for r in rows:
+        x, _ = quality_mil.features([(r.text or "").encode()])
+        assert np.allclose(x[:, -quality_mil.RATES :], _plain_features((r.text or "").encode()), atol=1e-5)
+        assert abs(got[r.doc_id] - _plain_score(model, x.tolist())) < 1e-4
+
+
+def test_long_and_repeated_rows_are_learned_from(spark):
+    """A label that only texts beyond any former bound on length carry, and one id that is repeated many times."""
+    plain, loud = " ".join(f"word{k % 50}" for k in range(64)), " ".join(f"W{k % 50}!!" for k in range(64))
+    rows = [(k, " ".join([plain] * 60 + ([loud] * 60 if k % 2 else []))) for k in range(300)]
+    rows += [(1000, loud)] * 500 + [(1000, loud + " other")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(300)] + [(1000, 0)] * 50 + [(7, 1)], "doc_id long, quality int")
+    assert min(len(t) for _, t in rows[:300]) > 20_000
+    model = quality_mil.train(docs, labels, fit_docs=200, fit_passages=8)
+    scores = {r.doc_id: r.score for r in quality_mil.score(docs, model).collect()}
+    assert sum((scores[k] >= 0.5) == (k % 2 == 0) for k in range(300)) > 290
+    assert quality_mil.spread(10, 24) == list(range(10)) and quality_mil.spread(100, 4) == [0, 33, 66, 99] and quality_mil.spread(5, 1) == [0]
