@@ -176,16 +176,44 @@ def test_components_of_chains_and_stars(spark):
 def test_schedule_is_pfair(seed):
     rng = random.Random(seed)
     weights = {f"s{k}": rng.choice([1, 2, 3, 50, 1000, 7919]) for k in range(rng.randrange(1, 40))}
-    slots = mixing.SLOTS
-    quota = mixing.quotas(weights, slots)
-    assert sum(quota.values()) == slots and min(quota.values()) >= 1
-    plan = mixing.frame(quota)
+    _check_pfair(weights)
+
+
+def _check_pfair(weights):
+    """After any number of slots each source is less than one block away from its exact share."""
+    slots = sum(weights.values())
+    plan = mixing.schedule(weights)
     at = {t: s for s, ts in plan.items() for t in ts}
-    assert sorted(at) == list(range(slots))
-    done = dict.fromkeys(weights, 0)
+    assert sorted(at) == list(range(slots)) and {s: len(ts) for s, ts in plan.items()} == weights
+    names = sorted(weights)
+    done, w = np.zeros(len(names), np.int64), np.array([weights[s] for s in names])
+    number = {s: k for k, s in enumerate(names)}
     for t in range(slots):
-        done[at[t]] += 1
-        assert all(abs(done[s] * slots - quota[s] * (t + 1)) < slots for s in weights)
+        done[number[at[t]]] += 1
+        assert (np.abs(done * slots - w * (t + 1)) < slots).all()
+
+
+@pytest.mark.parametrize("weights", [{"a": 100_000, "b": 1, "c": 1}, {"half": 19, **{f"s{k}": 1 for k in range(19)}}, {"half": 199, **{f"s{k}": 1 for k in range(199)}}, {"one": 7}])
+def test_shares_are_exact(weights):
+    _check_pfair(weights)
+
+
+def test_own_weights_follow_square_roots():
+    assert mixing.own_weights({"a": 4_000_000, "b": 1_000_000, "c": 0}) == {"a": 682, "b": 341, "c": 1}
+    assert mixing.own_weights({"": 0}) == {"": 1}
+
+
+def test_shares_of_documents(spark):
+    """A heavy source and two of weight 1: no share is raised to some least number of slots."""
+    rows = [(k, "a" if k % 4 else "bc"[k // 4 % 2], "x" * 50) for k in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(df, {"a": 100, "b": 1, "c": 1}, block_chars=100).where("on_target").select("source", "slot").distinct().collect()
+    n = max(r.slot for r in got) + 1
+    for s, w in (("a", 100), ("b", 1), ("c", 1)):
+        assert abs(sum(r.source == s for r in got) - n * w / 102) < 1
+    for bad in ({"a": 0}, {"a": 1 << 20, "b": 3}):
+        with pytest.raises(ValueError, match="weights"):
+            mixing.mix(df, bad)
 
 
 def test_mix(spark):
@@ -195,11 +223,10 @@ def test_mix(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({"block": F.lit(1), "slot": F.lit(2), "quota": F.lit(3), "part": F.lit(4), "n_chars": F.lit(5)})
     got = mixing.mix(df, {"a": 5, "b": 3}, block_chars=1000).collect()
     assert sorted((r.doc_id or -1, r.source, r.n_chars) for r in got) == sorted((i or -1, s or "", len(t or "")) for i, s, t in rows)
-    slots = mixing.SLOTS
-    quota = mixing.quotas({"a": 5, "b": 3, "c": 1, "": 1, "é'\\\"": 1}, slots)
-    plan = mixing.frame(quota)
+    weights = {"a": 5, "b": 3, "c": 1, "": 1, "é'\\\"": 1}
+    slots, plan = sum(weights.values()), mixing.schedule(weights)
     for r in got:
-        assert r.slot == r.block // quota[r.source] * slots + plan[r.source][r.block % quota[r.source]]
+        assert r.slot == r.block // weights[r.source] * slots + plan[r.source][r.block % weights[r.source]]
     by = {}
     for r in got:
         by.setdefault(r.source, []).append((r.block * 1000 + r["at"], r.n_chars))
@@ -212,8 +239,13 @@ def test_mix(spark):
 def test_mix_in_groups(spark, monkeypatch):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
     want = sorted(tuple(r) for r in mixing.mix(df, block_chars=10_000).collect())
-    monkeypatch.setattr(mixing, "GROUP", 3)  # prefix sums in two levels
-    assert sorted(tuple(r) for r in mixing.mix(df, block_chars=10_000).collect()) == want
+    monkeypatch.setattr(mixing, "GROUP", 3)  # prefix sums in levels
+    for level in (3, 1):
+        monkeypatch.setattr(mixing, "LEVEL", level)
+        assert sorted(tuple(r) for r in mixing.mix(df, block_chars=10_000).collect()) == want
+    texts = mixing.mix(df, block_chars=10_000, carry=df.columns)
+    assert texts.columns == ["doc_id", "source", "n_chars", "block", "at", "slot", "on_target", "text", "lang"]
+    assert sorted(tuple(r)[:7] for r in texts.collect()) == want and texts.select("doc_id", "text", "lang").exceptAll(df.select("doc_id", "text", "lang")).isEmpty()
 
 
 # --- pipeline -------------------------------------------------------------------------------------------------------
