@@ -15,15 +15,21 @@ from blockmill.llm.queries import BLOCK_CHARS
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier rejects. It is fitted on labelled documents of this stage's input."""
+    """Drops documents that the classifier rejects. It is fitted on labelled documents of this stage's input.
+
+    Every row is judged by its text alone: null and empty texts as texts of one empty passage, repeated rows alike, null
+    ids like others. An empty table stays empty; without labels every score is 0.5, so that all rows go. Other columns
+    pass through, whatever their names.
+    """
     return quality_mil.keep_good(docs, quality_mil.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays, that of the smallest id; of repeated rows of an id, one.
 
-    Rows that repeat an id with another text are documents of their own: what is no copy stays. Documents without words,
-    or without an id, are in no group and stay.
+    Rows that repeat an id with another text are documents of their own: what is no copy stays. Documents without words
+    (null, empty and blank texts), or without an id, are in no group and stay, repeated ones too. An empty table stays
+    empty. Other columns pass through, whatever their names; of linked rows those of the row that stays.
     """
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         # rows in place of ids: numbers in the order of the ids, written so that they hold
@@ -43,19 +49,32 @@ def _copies(docs: DataFrame) -> DataFrame:
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that share a passage with the benchmark."""
+    """Drops documents that share a passage with the benchmark.
+
+    Every row is judged by its text alone: null and empty texts stay, repeated rows go or stay together, null ids are like
+    others. An empty table, or an empty benchmark, drops nothing. Other columns pass through, whatever their names.
+    """
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts by the names of its kinds; n_chars follows the text."""
+    """Replaces personal data in the texts by the names of its kinds; n_chars follows the text.
+
+    Null texts stay null (and so is their n_chars), empty ones empty; repeated rows, null ids and all other columns stay,
+    whatever their names, and no row goes. An empty table stays empty.
+    """
     out = pii.redact_documents(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes in the mix."""
-    return mixing.mix(docs, block_chars=BLOCK_CHARS)
+    """The training mix: every document, its text and other columns, and its place (block, at, slot, on_target).
+
+    Training reads by slot, then at. n_chars is the text's length, null texts having none; a null source is the source ''.
+    Repeated rows and null ids keep a row each. An empty table gives no rows. Columns of the documents that are named as
+    one of the place's own are replaced by it.
+    """
+    return mixing.mix(docs, block_chars=BLOCK_CHARS, carry=docs.columns)
 
 
 STAGES = [
