@@ -1,8 +1,10 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust their score.
 
 Everything is DataFrame functions. A pattern's matches are marked in the text with a character that the text doesn't have,
-the text is split there, and the pieces' lengths give the matches' places. Patterns are written so that they take time in
-proportion to the text (possessive, or of bounded length, and begun only where a run begins).
+the text is split there, and the pieces' running lengths give the matches' places; the pieces beside a match are its
+context. Running sums are taken in chunks of about the square root of their number, so that no step copies all that came
+before it. Patterns are written so that they take time in proportion to the text (possessive, or of bounded length, and
+begun only where a run begins).
 """
 
 from __future__ import annotations
@@ -56,45 +58,84 @@ def _q(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """body with the value, worked out once, by that name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _scan(values: str, fold: str, start: int) -> str:
+    """For an array of ints, one or more: what folding gives before each of them, and at last over all. fold: SQL over {0} and {1}."""
+    begin = f"named_struct('at', {start}, 'out', cast(array() AS array<int>))"
+    step = lambda x: f"named_struct('at', {fold.format('a.at', x)}, 'out', concat(a.out, array(a.at)))"
+    wide = "CAST(ceil(sqrt(size(v))) AS INT)"
+    chunks = f"transform(sequence(0, CAST((size(v) - 1) div {wide} AS INT)), k -> aggregate(slice(v, k * {wide} + 1, {wide}), {begin}, (a, x) -> {step('x')}))"
+    tops = f"aggregate(chunk, {begin}, (a, y) -> {step('y.at')})"
+    whole = f"concat(flatten(transform(chunk, (y, k) -> transform(y.out, x -> {fold.format('tops.out[k]', 'x')}))), array(tops.at))"
+    return _let(values, "v", _let(chunks, "chunk", _let(tops, "tops", whole)))
+
+
+def _span(rank: int, k: Kind, start: str, m: str, before: str, after: str) -> str:
+    near = f"lower(concat({before}, ' ', {after}))"
+    score = _let(near, "w", f"CAST({k.confirmed} + CASE WHEN w RLIKE {_q(k.words)} THEN {RAISE} ELSE 0.0 END - CASE WHEN w RLIKE {_q(AGAINST)} THEN {LOWER} ELSE 0.0 END AS DOUBLE)")
+    return f"named_struct('start', {start}, 'end', {start} + length({m}), 'kind', '{k.name}', 'rank', {rank}, 'base', {str(k.base).lower()}, 'score', {score})"
+
+
+def _beside(places: list[str]) -> tuple[str, str]:
+    """The context before and after, from pieces at offsets of i, nearest first."""
+    before = ", ".join(f"right(coalesce(get(p, i - {x}), ''), {CONTEXT})" for x in reversed(places))
+    after = ", ".join(f"left(coalesce(get(p, i + {x}), ''), {CONTEXT})" for x in places)
+    return f"right(concat({before}), {CONTEXT})", f"left(concat({after}), {CONTEXT})"
+
+
 def _found(rank: int, k: Kind) -> str:
-    """Array of spans of a kind in `_text`."""
+    """Array of spans of a kind in `_text`, in order of start."""
     none = f"cast(array() AS array<{SPAN}>)"
+    odd = "sequence(1, size(p) - 2, 2)"
     if k.retry:  # copies of the matches, which may overlap, go before their places; of each the longest start that passes
-        copies = f"split(regexp_replace(_text, {_q(f'(?=({k.pattern}))')}, '{MARK}$1{MARK}'), '{MARK}')"
-        starts = "transform(sequence(size(split(p, ' ')), 1, -1), n -> array_join(slice(split(p, ' '), 1, n), ' '))"
-        pieces = f"transform({copies}, (p, i) -> CASE WHEN i % 2 = 1 THEN coalesce(get(filter({starts}, m -> {k.check}), 0), '') ELSE p END)"
-        passes, step_at = "m <> '' AND coalesce(try_element_at(a.spans, -1).end, 0) <= a.at", "CASE WHEN a.odd THEN 0 ELSE length(m) END"
+        pieces = f"split(regexp_replace(_text, {_q(f'(?=({k.pattern}))')}, '{MARK}$1{MARK}'), '{MARK}')"
+        starts = "transform(sequence(size(split(x, ' ')), 1, -1), n -> array_join(slice(split(x, ' '), 1, n), ' '))"
+        best = _let("p[i]", "x", f"coalesce(get(filter({starts}, m -> {k.check}), 0), '')")
+        before, _ = _beside(["1", "3", "5"])
+        after = f"substring(concat(coalesce(get(p, i + 1), ''), left(coalesce(get(p, i + 3), ''), {CONTEXT + 50}), left(coalesce(get(p, i + 5), ''), {CONTEXT + 50})), length(m) + 1, {CONTEXT})"
+        tried = f"filter(transform({odd}, i -> {_let(best, 'm', _span(rank, k, 'o[i]', 'm', before, after))}), s -> s.end > s.start)"
+        # one that begins inside an earlier one is dropped; the pattern leaves room for 9 beginnings in a match
+        spans = _let(tried, "f", "filter(f, (s, n) -> NOT exists(slice(f, greatest(n - 9, 0) + 1, least(n, 9)), e -> e.end > s.start))")
+        size = "transform(p, (x, i) -> CASE WHEN i % 2 = 1 THEN 0 ELSE length(x) END)"
     else:
         pieces = f"split(regexp_replace(_text, {_q(k.pattern)}, '{MARK}$0{MARK}'), '{MARK}')"
-        passes, step_at = k.check, "length(m)"
-    # a step for each piece: odd ones are matches; what the check drops is passed over
-    near = f"lower(concat(substring(_text, greatest(a.at - {CONTEXT}, 0) + 1, a.at - greatest(a.at - {CONTEXT}, 0)), ' ', substring(_text, a.at + length(m) + 1, {CONTEXT})))"
-    score = f"CAST({k.confirmed} + CASE WHEN {near} RLIKE {_q(k.words)} THEN {RAISE} ELSE 0.0 END - CASE WHEN {near} RLIKE {_q(AGAINST)} THEN {LOWER} ELSE 0.0 END AS DOUBLE)"
-    span = f"named_struct('start', a.at, 'end', a.at + length(m), 'kind', '{k.name}', 'rank', {rank}, 'base', {str(k.base).lower()}, 'score', {score})"
-    step = f"(a, m) -> named_struct('at', a.at + {step_at}, 'odd', NOT a.odd, 'spans', CASE WHEN a.odd AND ({passes}) THEN concat(a.spans, array({span})) ELSE a.spans END)"
-    spans = f"aggregate({pieces}, named_struct('at', 0, 'odd', false, 'spans', {none}), {step}, a -> a.spans)"
-    spans = spans if k.base else f"filter({spans}, s -> s.score >= {LEAST})"
-    return f"CASE WHEN _text RLIKE {_q(k.quick)} THEN {spans} ELSE {none} END"
+        spans = f"transform(filter({odd}, i -> exists(array(p[i]), m -> {k.check})), i -> {_span(rank, k, 'o[i]', 'p[i]', *_beside(['1', '2', '3']))})"
+        size = "transform(p, x -> length(x))"
+    found = _let(pieces, "p", f"CASE WHEN size(p) < 3 THEN {none} ELSE {_let(_scan(size, '{0} + {1}', 0), 'o', spans)} END")
+    found = found if k.base else f"filter({found}, s -> s.score >= {LEAST})"
+    return f"CASE WHEN _text RLIKE {_q(k.quick)} THEN {found} ELSE {none} END"
+
+
+_ORDER = "(x, y) -> CASE WHEN x.start <> y.start THEN x.start - y.start WHEN x.rank <> y.rank THEN x.rank - y.rank ELSE x.end - y.end END"
+_NEVER = 2**31 - 1
+
+
+def _merged(kinds: tuple[Kind, ...]) -> str:
+    """All spans in order; those of other kinds that touch a base span are left out."""
+    none = f"cast(array() AS array<{SPAN}>)"
+    base = f"concat({', '.join([none, *(_found(r, k) for r, k in enumerate(kinds) if k.base)])})"
+    more = f"concat({', '.join([none, *(_found(r, k) for r, k in enumerate(kinds) if not k.base)])})"
+    last = _scan("transform(z, s -> CASE WHEN s.base THEN s.end ELSE 0 END)", "greatest({0}, {1})", 0)
+    following = _scan(f"transform(reverse(z), s -> CASE WHEN s.base THEN s.start ELSE {_NEVER} END)", "least({0}, {1})", _NEVER)
+    apart = _let(last, "g", _let(following, "h", "filter(z, (s, n) -> s.base OR (g[n] <= s.start AND h[size(z) - 1 - n] >= s.end))"))
+    return _let(base, "b", _let(more, "e", f"CASE WHEN size(e) = 0 THEN array_sort(b, {_ORDER}) WHEN size(b) = 0 THEN array_sort(e, {_ORDER}) ELSE {_let(f'array_sort(concat(b, e), {_ORDER})', 'z', apart)} END"))
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """docs with `pii` added: the spans by start, then kind, in code points, the end exclusive.
+    """docs with `pii` added: the spans (with their scores) by start, then kind, in code points, the end exclusive.
 
     Base kinds report every match that passes its check. Other kinds report what reaches the least score and touches no
-    base span. Null and empty texts have no spans. Repeated rows are rows of their own; other columns pass through, but
-    columns named _text and pii are replaced. A text is read whole, however long.
+    base span. Null and empty texts have no spans. Repeated rows are rows of their own; other columns pass through,
+    whatever their names, but a column pii is replaced. A text is read whole, however long. No rows give no rows.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.withColumn("_text", F.translate(text, MARK, "\x02"))
-    for rank, k in enumerate(kinds):
-        out = out.withColumn(f"_s{rank}", F.expr(_found(rank, k)))
-    base = ", ".join(f"_s{r}" for r, k in enumerate(kinds) if k.base)
-    more = ", ".join(f"_s{r}" for r, k in enumerate(kinds) if not k.base)
-    none = f"cast(array() AS array<{SPAN}>)"
-    out = out.withColumn("_base", F.expr(f"concat({none}, {base})" if base else none)).withColumn("_more", F.expr(f"concat({none}, {more})" if more else none))
-    out = out.withColumn("_more", F.expr("filter(_more, s -> NOT exists(_base, b -> b.start < s.end AND s.start < b.end))"))
-    order = "(x, y) -> CASE WHEN x.start <> y.start THEN x.start - y.start WHEN x.rank <> y.rank THEN x.rank - y.rank ELSE x.end - y.end END"
-    return out.withColumn("pii", F.expr(f"array_sort(concat(_base, _more), {order})")).drop("_text", "_base", "_more", *(f"_s{r}" for r in range(len(kinds))))
+    kept = [c for c in docs.columns if c != "pii"]
+    text = F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), MARK, "\x02")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept))).alias("row"), text.alias("_text"))
+    return rows.withColumn("pii", F.expr(_merged(kinds))).select(*(F.col("row").getField(f"c{k}").alias(c) for k, c in enumerate(kept)), "pii")
 
 
 def joined(base_only: bool) -> Column:
@@ -103,11 +144,18 @@ def joined(base_only: bool) -> Column:
 
 
 def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """The text with each span replaced by its kind in brackets; overlapping spans give one replacement. Null stays null."""
+    """The text with each span replaced by its kind in brackets; overlapping spans give one replacement. Null stays null.
+
+    The text is cut to pieces of 1,024 code points, so that what lies between two spans is found without reading it from
+    its beginning.
+    """
     text = f"`{text_col}`"
-    step = f"(a, s) -> CASE WHEN s.end <= a.at THEN a WHEN s.start < a.at THEN named_struct('at', s.end, 'out', a.out) ELSE named_struct('at', s.end, 'out', concat(a.out, array(concat(substring({text}, a.at + 1, s.start - a.at), '[', upper(s.kind), ']')))) END"
-    done = f"aggregate(pii, named_struct('at', 0, 'out', cast(array() AS array<string>)), {step}, a -> concat(array_join(a.out, ''), substring({text}, a.at + 1, length({text}))))"
-    return found.withColumn(text_col, F.expr(f"CASE WHEN size(pii) > 0 THEN {done} ELSE {text} END"))
+    gap = "CASE WHEN g.b <= g.a THEN '' WHEN shiftright(g.a, 10) = shiftright(g.b - 1, 10) THEN substring(c[shiftright(g.a, 10)], (g.a & 1023) + 1, g.b - g.a) ELSE concat(substring(c[shiftright(g.a, 10)], (g.a & 1023) + 1, 1024), array_join(slice(c, shiftright(g.a, 10) + 2, shiftright(g.b - 1, 10) - shiftright(g.a, 10) - 1), ''), left(c[shiftright(g.b - 1, 10)], ((g.b - 1) & 1023) + 1)) END"
+    between = lambda a, b: _let(f"named_struct('a', {a}, 'b', {b})", "g", gap)
+    done = f"concat(array_join(transform(s, (x, n) -> CASE WHEN x.start >= m[n] THEN concat({between('m[n]', 'x.start')}, '[', upper(x.kind), ']') ELSE '' END), ''), {between('m[size(s)]', f'length({text})')})"
+    last = _scan("transform(s, x -> x.end)", "greatest({0}, {1})", 0)
+    whole = _let("pii", "s", _let(last, "m", _let(f"regexp_extract_all({text}, '(?s).{{1,1024}}', 0)", "c", done)))
+    return found.withColumn(text_col, F.expr(f"CASE WHEN size(pii) > 0 THEN {whole} ELSE {text} END"))
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -118,7 +166,12 @@ def redact_documents(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind,
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, counts of the base kinds, base_sha256, spans, n_more, scores) per row of docs."""
-    found = find_pii(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    """(doc_id, counts of the base kinds, base_sha256, spans, n_more, scores) per row of docs; scores are those of spans, in order.
+
+    Null and empty texts have counts of 0. Null ids and repeated rows are rows of their own; other columns are ignored,
+    whatever their names. No rows give no rows.
+    """
+    found = find_pii(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
     counts = [F.expr(f"CAST(size(filter(pii, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(joined(True), 256).alias("base_sha256"), joined(False).alias("spans"), F.expr("CAST(size(filter(pii, s -> NOT s.base)) AS BIGINT)").alias("n_more"))
+    scores = F.expr("array_join(transform(pii, s -> format_number(s.score, 2)), ',')").alias("scores")
+    return found.select("doc_id", *counts, F.sha2(joined(True), 256).alias("base_sha256"), joined(False).alias("spans"), F.expr("CAST(size(filter(pii, s -> NOT s.base)) AS BIGINT)").alias("n_more"), scores)

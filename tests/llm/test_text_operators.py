@@ -180,6 +180,67 @@ def test_pii_scores_and_redaction(spark):
     assert done[0] == ("iban [IBAN] here", "keep") and done[5] == (None, "keep") and done[3][0] == texts[3]
 
 
+def test_pii_of_many_matches_in_one_text(spark):
+    """Time in proportion to the matches, and right places, contexts and redaction among many."""
+    import time
+
+    def text(n):
+        return "é ".join(f"mail u{k}@h{k}.org, pay AT61 1904 3002 3457 3201 or {k}" for k in range(n))
+
+    took = {}
+    for n in (4_000, 16_000, 4_000, 16_000):
+        df = spark.createDataFrame([(1, text(n))], "doc_id long, text string")
+        began = time.time()
+        r = pii.pii_report(df).first()
+        done = pii.redact_documents(df).first().text
+        took[n] = min(took.get(n, 1e9), time.time() - began)
+        assert (r.n_email, r.n_more) == (n, n) and done == "é ".join(f"mail [EMAIL], pay [IBAN] or {k}" for k in range(n))
+        spans = [x.split(":") for x in r.spans.split(",")]
+        assert all((kind == "email") == ("@" in text_) for (kind, *_), text_ in ((x, text(n)[int(x[1]) : int(x[2])]) for x in spans[:50]))
+        assert len(r.scores.split(",")) == 2 * n
+    assert took[16_000] < 4.5 * took[4_000] + 1
+
+
+def test_redaction_against_a_plain_version(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(300):
+        text = "".join(rng.choice("ab é😀\n") for _ in range(rng.choice([0, 5, 40, 1023, 1024, 1025, 5000])))
+        cuts = sorted((rng.randrange(len(text)), rng.choice([1, 3, 30, 1500])) for _ in range(rng.randrange(6))) if text else []
+        rows.append((k, text, [(s, min(len(text), s + n), "email") for s, n in cuts]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii array<struct<start:int,end:int,kind:string>>")
+    got = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    for k, text, spans in rows:
+        out, at = "", 0
+        for s, e, _ in spans:
+            if s >= at:
+                out += text[at:s] + "[EMAIL]"
+            at = max(at, e)
+        assert got[k] == out + text[at:], (text[:50], spans)
+
+
+def test_pii_keeps_other_columns(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cc", 7, "x", "y")], "doc_id long, text string, _text long, _base string, row string").withColumn("_s0", F.lit(3))
+    found = pii.find_pii(df)
+    assert found.columns == [*df.columns, "pii"] and found.drop("pii").collect() == df.collect()
+    assert [(x.kind, x.start, x.end, x.base) for x in found.first().pii] == [("email", 5, 11, True)] and found.first().pii[0].score > 0.9
+
+
+def test_other_kinds_leave_base_spans_alone(spark):
+    """Every span of the method's own is kept or dropped as a plain comparison with all base spans says."""
+    rng = random.Random(12)
+    bits = [*PARTS, "call 0211 555-0123", "tel 0171/1234567", "iban AT61 1904 3002 3457 3201", "AT611904300234573201@x.yy", "+49 0211 555-0123 9"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = tuple(k for k in pii.KINDS if not k.base)
+    alone = {r.doc_id: r.pii for r in pii.find_pii(docs, kinds=own).collect()}
+    for r in pii.find_pii(docs).collect():
+        base = [(x.start, x.end) for x in r.pii if x.base]
+        want = [(x.kind, x.start, x.end) for x in alone[r.doc_id] if not any(s < x.end and x.start < e for s, e in base)]
+        assert sorted((x.kind, x.start, x.end) for x in r.pii if not x.base) == sorted(want), texts[r.doc_id]
+        assert [x.start for x in r.pii] == sorted(x.start for x in r.pii)
+
+
 def test_iban_before_other_words(spark):
     at, de = "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00"
     texts = [f"IBAN {at} BIC BAWA", f"IBAN {at.replace(' ', '')} EUR 50", f"IBAN {at} Bank", f"IBAN {at} BANK", f"IBAN {at} {de} EUR", f"é AB12 {at}", f"IBAN {at}", f"IBAN {at[:-1]}2 BIC", f"{at}\n{at}"]
@@ -240,7 +301,7 @@ def test_chat_turns_of_any_length(spark):
     rows = spark.sql(f"SELECT 1L AS conv_id, 0L AS turn, 'human' AS role, 'short' AS text UNION ALL SELECT 1L, 1L, 'assistant', repeat('x', {n})")
     formatted = chat_format.format_conversations(rows)
     r = formatted.selectExpr("layout", "fingerprint", "transform(turns, t -> concat(t.role, ' ', length(t.text))) AS said").first()
-    assert (r.layout, r.fingerprint, r.said) == ("messages", chat_format.MAPPINGS[0].fingerprints()[0], ["user 5", f"assistant {n}"])
+    assert (r.layout, r.fingerprint, r.said) == ("messages", chat_format.MAPPINGS[0].fingerprints()[0], ["human 5", f"assistant {n}"])
     got = chat_format.digests(formatted).first()
     assert (got.n_turns, got.loss_chars) == (2, n)
     records = spark.sql(f"""SELECT '{{"messages":[{{"role":"user","content":"' || repeat('x', {n}) || '"}}]}}' AS payload UNION ALL SELECT '{{"prompt":"p","response":"' || repeat('x', {n}) || '"}}'""")
