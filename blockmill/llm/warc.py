@@ -1,23 +1,26 @@
 """WARC archives: a writer of one gzip member per record, and a sequential reader.
 
 The reader decompresses incrementally with zlib, member after member, so that it holds one record at a time whatever the
-archive's size; a record's payload is framed by its Content-Length and checked against its digests.
+archive's size; a record's block is framed by its Content-Length, and block and payload are checked against their digests.
+The payload of an HTTP message is what follows its headers, freed of chunked framing.
 
 Archives made by Spark jobs are rows (archive, part, content) of a table: each content is a run of whole members, as in
-a .warc.gz file, and `export_archives` writes them out as files through Hadoop's file systems. `read_archives` takes
-such rows, or those of Spark's binaryFile source over .warc.gz files.
+a .warc.gz file. `export_archives` writes them out as files, each archive by the task that holds it; `read_archives` takes
+such rows, and `read_archive_files` reads .warc.gz files of any size as streams that the tasks open.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, remove, slices, texts_of
@@ -28,6 +31,10 @@ READ_BYTES = 64 << 10
 DATE = "1970-01-01T00:00:00Z"
 
 
+#: Digest algorithms that are checked, and their sizes; other names are passed over.
+ALGORITHMS = {"md5": 16, "sha1": 20, "sha224": 28, "sha256": 32, "sha384": 48, "sha512": 64}
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -45,6 +52,62 @@ class Record:
     def type(self) -> str:
         return self.headers.get("warc-type", "")
 
+    @property
+    def http(self) -> bool:
+        return self.headers.get("content-type", "").replace(" ", "").lower().startswith("application/http") and self.type in ("response", "request", "revisit")
+
+    @property
+    def body(self) -> bytes:
+        """The block without an HTTP message's headers."""
+        return self.block[http_end(self.block) :] if self.http else self.block
+
+    @property
+    def payload(self) -> bytes:
+        """The body, freed of chunked framing where the HTTP headers name it and the framing is whole."""
+        if not self.http:
+            return self.block
+        end = http_end(self.block)
+        chunked = re.search(rb"(?im)^transfer-encoding:[^\r\n]*\bchunked\b", self.block[:end])
+        whole = unchunked(self.block[end:]) if chunked else None
+        return self.block[end:] if whole is None else whole
+
+
+def http_end(block: bytes) -> int:
+    """Where an HTTP message's headers end; all of a block without an end of headers is headers."""
+    found = re.search(rb"\r?\n\r?\n", block)
+    return found.end() if found else len(block)
+
+
+def unchunked(body: bytes) -> bytes | None:
+    """What the chunks of an HTTP body hold, or None if the body is no whole run of chunks."""
+    out, at = [], 0
+    while True:
+        line = body.find(b"\n", at)
+        size = body[at:line].split(b";")[0].strip()
+        if line < 0 or not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return None
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        if line + 1 + n > len(body):
+            return None
+        out.append(body[line + 1 : line + 1 + n])
+        at = line + 1 + n
+        at += 2 if body[at : at + 2] == b"\r\n" else 1 if body[at : at + 1] == b"\n" else 0
+
+
+def agrees(named: str, *contents: bytes) -> bool:
+    """Whether a digest `algorithm:value`, in base 32 or 16, is that of one of the contents; an unknown algorithm agrees."""
+    algorithm, colon, value = named.partition(":")
+    algorithm = algorithm.strip().lower().replace("-", "")
+    if not colon or algorithm not in ALGORITHMS:
+        return True
+    for content in contents:
+        raw = hashlib.new(algorithm, content, usedforsecurity=False).digest()
+        if value.strip().lower() == raw.hex() or value.strip().rstrip("=").upper() == base64.b32encode(raw).decode().rstrip("="):
+            return True
+    return False
+
 
 def member(headers: list[tuple[str, str]], block: bytes, level: int = 6) -> bytes:
     """A record as a gzip member of its own; the same record gives the same bytes."""
@@ -104,11 +167,12 @@ def read_records(source: Iterable[bytes], check: bool = True) -> Iterator[Record
             if headers is None or len(held) != length + 4 or held[length:] != b"\r\n\r\n":
                 raise DamagedRecord("the record's length differs from its Content-Length")
             record = Record(headers, bytes(held[:length]))
-            named = headers.get("warc-block-digest")
-            if check and named and named != f"sha1:{digest(record.block)}":
+            named, payload = headers.get("warc-block-digest", ""), headers.get("warc-payload-digest", "")
+            if check and not agrees(named, record.block):
                 raise DamagedRecord(f"the block's digest is not {named}")
-            if check and record.type == "response" and headers.get("warc-payload-digest", named) != named:
-                raise DamagedRecord("the payload's digest differs from its block's")
+            # a revisit names the payload of another record, and segments that of the whole
+            if check and payload and payload != named and record.type not in ("revisit", "continuation") and "warc-segment-number" not in headers and not agrees(payload, record.body, record.payload):
+                raise DamagedRecord(f"the payload's digest is not {payload}")
             yield record
             held, headers = bytearray(), None
 
@@ -139,13 +203,16 @@ def write_archives(pages: DataFrame, scratch: Scratch, least_bytes: int = 0, lev
     Of pages with equal payloads (size and SHA-1) of at least least_bytes, the one with the smallest id is a response and
     others are revisits; smaller payloads are all responses. A null payload is empty. A null id never is the smallest;
     rows that repeat the smallest id are responses too; pages that all lack an id are responses. Other columns are
-    ignored, whatever their names. Payloads are digested before any row moves, so that a payload that many pages share
-    meets as one digest row for each task, and html moves only in the order that the join by digest asks for.
+    ignored, whatever their names. No rows give no archives. Payloads are digested before any row moves; digests and ids
+    alone tell which pages are revisits, and html moves by its page's id, so that no payload gathers its pages in one task.
     """
-    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    keyed = pages.withColumns({"sha1": F.sha1(F.encode("html", "UTF-8")), "bytes": F.octet_length("html").cast("long")})
-    first = keyed.select("sha1", "bytes", "page_id").where(F.col("bytes") >= least_bytes).groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    dealt = keyed.join(first, ["sha1", "bytes"], "left").selectExpr("page_id", "url", "html", "CASE WHEN first IS NULL OR page_id <=> first THEN NULL ELSE first END AS refers")
+    pages = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
+    keyed = pages.withColumns({"sha1": F.unhex(F.sha1(F.encode("html", "UTF-8"))), "bytes": F.octet_length("html").cast("long")})
+    # digests and ids alone tell which rows are revisits: a row for each id and payload that repeats another's
+    slim = keyed.select("sha1", "bytes", "page_id").where(F.col("bytes") >= least_bytes)
+    first = slim.groupBy("sha1", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 AND first IS NOT NULL").drop("copies")
+    again = slim.distinct().join(first, ["sha1", "bytes"]).where("NOT (page_id <=> first)").selectExpr("page_id AS p", "sha1 AS s", "bytes AS b", "first AS refers")
+    dealt = keyed.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("s")) & (F.col("bytes") == F.col("b")), "left").select("page_id", "url", "html", "refers")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -165,47 +232,109 @@ def write_archives(pages: DataFrame, scratch: Scratch, least_bytes: int = 0, lev
 RECORDS = "record_type string, record_id string, target_uri string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 
 
+def _schema() -> pa.Schema:
+    return pa.schema([pa.field(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (c.split() for c in RECORDS.split(", "))])
+
+
+def _record_rows(source: Iterable[bytes], check: bool, payloads: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of an archive's records, some megabytes at a time."""
+    schema = _schema()
+    rows: list[tuple] = []
+    held = 0
+    for r in read_records(source, check):
+        h = r.headers
+        revisit = r.type == "revisit"
+        payload = b"" if revisit else r.payload
+        named = h.get("warc-payload-digest") or (None if r.type != "response" else f"sha1:{digest(payload)}")
+        rows.append((r.type, h.get("warc-record-id"), h.get("warc-target-uri"), named and named.removeprefix("sha1:"), int(h.get("warc-payload-length", len(payload))) if revisit else len(payload), h.get("warc-refers-to"), None if revisit or not payloads else payload))
+        held += len(payload) if payloads else 200
+        if held > PART_BYTES:
+            yield _rows(rows, schema)
+            rows, held = [], 0
+    if rows:
+        yield _rows(rows, schema)
+
+
 def read_archives(archives: DataFrame, check: bool = True, payloads: bool = True) -> DataFrame:
-    """The records of the rows' `content`, each a whole number of gzip members; the payload of a revisit is null."""
+    """The records of the rows' `content`, each a whole number of gzip members; the payload of a revisit is null.
+
+    A null or empty content has no records; repeated rows are read each. Other columns are ignored, whatever their names. A
+    damaged record raises.
+    """
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([pa.field(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (c.split() for c in RECORDS.split(", "))])
         for batch in batches:
             for content in batch.column("content"):
-                rows: list[tuple] = []
-                held = 0
-                for r in read_records([memoryview(content.as_buffer())] if content.is_valid else [], check):
-                    h = r.headers
-                    revisit = r.type == "revisit"
-                    rows.append((r.type, h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, int(h.get("warc-payload-length", len(r.block))) if revisit else len(r.block), h.get("warc-refers-to"), None if revisit or not payloads else r.block))
-                    held += len(r.block) if payloads else 200
-                    if held > PART_BYTES:
-                        yield _rows(rows, schema)
-                        rows, held = [], 0
-                if rows:
-                    yield _rows(rows, schema)
+                yield from _record_rows([memoryview(content.as_buffer())] if content.is_valid else [], check, payloads)
 
     return archives.select("content").mapInArrow(read, RECORDS)
 
 
+def _opened(path: str):
+    """The file system and the path in it, as pyarrow knows them."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def _pieces_of(path: str) -> Iterator[bytes]:
+    where, at = _opened(path)
+    with where.open_input_stream(at, compression=None) as stream:
+        while piece := stream.read(READ_BYTES * 16):
+            yield piece
+
+
+def read_archive_files(spark: SparkSession, path: str, check: bool = True, payloads: bool = True) -> DataFrame:
+    """The records of .warc.gz files below a folder or glob. Each file is a stream that its task opens and never holds whole.
+
+    Spark lists the files (their contents are not read by it); tasks open them by pyarrow's file systems.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc.gz").load(path).select("path")
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in batch.column("path").to_pylist():
+                yield from _record_rows(_pieces_of(one), check, payloads)
+
+    return files.mapInArrow(read, RECORDS)
+
+
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def export_archives(archives: DataFrame, folder: str) -> None:
-    """Writes archive rows as .warc.gz files below the folder, a path of any of Hadoop's file systems. One row is held at a time."""
-    spark = archives.sparkSession
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    open_name, out = None, None
-    for row in archives.orderBy("archive", "part").toLocalIterator():
-        if row.archive != open_name:
-            if out is not None:
-                out.close()
-            path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row.archive}")
-            open_name, out = row.archive, path.getFileSystem(conf).create(path, True)
-        out.write(row.content)
-    if out is not None:
-        out.close()
+def export_archives(archives: DataFrame, folder: str) -> int:
+    """Writes archive rows as .warc.gz files below the folder, which all executors share, and returns how many.
+
+    The task that holds an archive's rows writes its file, under a name of its own, and renames it when it is whole, so that
+    a task that is lost or run twice leaves no half of an archive. Nothing but the files' names goes to the driver.
+    """
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, root = _opened(folder)
+        where.create_dir(root, recursive=True)
+        name, held, out = None, "", None
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            where.move(held, f"{root}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["archive"])
+
+        for batch in batches:
+            for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
+                if archive != name:
+                    if out is not None:
+                        yield close()
+                    name, held = archive, f"{root}/_{uuid.uuid4().hex}"
+                    out = where.open_output_stream(held, compression=None)
+                out.write(content.as_buffer())
+        if out is not None:
+            yield close()
+
+    dealt = archives.select("archive", "part", "content").repartition("archive").sortWithinPartitions("archive", "part")
+    return dealt.mapInArrow(write, "archive string").distinct().count()
 
 
 def pages_from_archives(records: DataFrame) -> DataFrame:
@@ -214,4 +343,4 @@ def pages_from_archives(records: DataFrame) -> DataFrame:
     return records.selectExpr(number.format("record_id") + " AS page_id", "payload_bytes", "payload_digest", "record_type", number.format("refers_to") + " AS refers_to")
 
 
-__all__ = ["DamagedRecord", "Record", "digest", "export_archives", "member", "page_of", "page_record", "pages_from_archives", "read_archives", "read_records", "remove", "uri", "write_archives"]
+__all__ = ["DamagedRecord", "Record", "digest", "export_archives", "member", "page_of", "page_record", "pages_from_archives", "read_archive_files", "read_archives", "read_records", "remove", "uri", "write_archives"]

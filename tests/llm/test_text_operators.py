@@ -445,7 +445,64 @@ def test_archives(spark, tmp_path):
         want.append((i, len(raw), warc.digest(raw), "revisit" if revisit else "response", least if revisit else None))
     assert out == sorted(want, key=str)
     assert all(r.record_type == "response" for r in warc.read_archives(warc.write_archives(df, Scratch(spark, "warc-test"), least_bytes=10**9)).collect())
-    warc.export_archives(archives, str(tmp_path))
+    assert warc.export_archives(archives, str(tmp_path)) == archives.select("archive").distinct().count()
+    assert all(name.endswith(".warc.gz") for name in os.listdir(tmp_path) if not name.endswith(".crc"))
+    assert warc.read_archive_files(spark, str(tmp_path)).count() == len(pages)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(str(tmp_path))
     assert warc.read_archives(files).count() == len(pages)
     assert warc.read_archives(warc.write_archives(df.limit(0), Scratch(spark, "warc-test"))).count() == 0
+
+
+def _http(body, more=b""):
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + more + b"\r\n" + body
+
+
+def _real_records():
+    """Records in the shape of crawlers' archives: HTTP headers in the block, digests of block and payload."""
+    import base64
+    import hashlib
+
+    sha = lambda x: "sha1:" + warc.digest(x)
+    body, other = b"<html>caf\xc3\xa9</html>" * 50, b"<p>two</p>"
+    chunked = b"".join(b"%x;x=1\r\n" % len(c) + c + b"\r\n" for c in (body[:100], body[100:])) + b"0\r\n\r\n"
+    head = lambda kind, n, *rest: [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{n}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), *rest]
+    message = ("Content-Type", "application/http; msgtype=response")
+    return [
+        (head("warcinfo", 0, ("Content-Type", "application/warc-fields")), b"software: some crawler\r\n", b"software: some crawler\r\n"),
+        (head("request", 1, ("Content-Type", "application/http; msgtype=request"), ("WARC-Block-Digest", sha(b"GET / HTTP/1.1\r\nHost: e\r\n\r\n"))), b"GET / HTTP/1.1\r\nHost: e\r\n\r\n", b""),
+        (head("response", 2, message, ("WARC-Block-Digest", sha(_http(body))), ("WARC-Payload-Digest", sha(body))), _http(body), body),
+        (head("response", 3, message, ("WARC-Payload-Digest", "sha256:" + hashlib.sha256(other).hexdigest())), _http(other), other),
+        (head("response", 4, message, ("WARC-Payload-Digest", "sha-256:" + base64.b32encode(hashlib.sha256(other).digest()).decode())), _http(other), other),
+        (head("response", 5, message, ("WARC-Payload-Digest", "blake3:abcdef"), ("WARC-Block-Digest", "xxh64:12")), _http(other), other),
+        (head("response", 6, message, ("WARC-Payload-Digest", sha(chunked))), _http(chunked, b"Transfer-Encoding: chunked\r\n"), body),
+        (head("response", 7, message, ("WARC-Payload-Digest", sha(body))), _http(chunked, b"Transfer-Encoding: gzip, chunked\r\n"), body),
+        (head("revisit", 8, message, ("WARC-Payload-Digest", sha(body)), ("WARC-Refers-To", "<urn:uuid:2>")), _http(b""), b""),
+        (head("response", 9, message), _http(b"", b"Transfer-Encoding: chunked\r\n"), b""),
+        (head("resource", 10, ("Content-Type", "image/png"), ("WARC-Payload-Digest", "md5:" + hashlib.md5(b"png").hexdigest())), b"png", b"png"),
+        (head("continuation", 11, ("WARC-Segment-Number", "2"), ("WARC-Payload-Digest", sha(b"whole"))), b"part", b"part"),
+    ]
+
+
+def test_reader_takes_standard_archives(spark, tmp_path):
+    records = _real_records()
+    archive = b"".join(warc.member(h, block) for h, block, _ in records)
+    for size in (1, 1000, len(archive)):
+        got = list(warc.read_records(archive[i : i + size] for i in range(0, len(archive), size)))
+        assert [(r.type, r.block, r.payload) for r in got] == [(h[0][1], block, payload) for h, block, payload in records]
+    for kind, (headers, block, _) in {"payload": records[2], "sha256": records[3], "plain": records[10]}.items():
+        spoilt = [(k, v[:-1] + ("0" if v[-1] != "0" else "1") if k == "WARC-Payload-Digest" else v) for k, v in headers]
+        with pytest.raises(warc.DamagedRecord):
+            list(warc.read_records([warc.member(spoilt, block)]))
+        assert kind and len(list(warc.read_records([warc.member(spoilt, block)], check=False))) == 1
+    os.makedirs(tmp_path / "a" / "b")
+    (tmp_path / "a" / "one.warc.gz").write_bytes(archive)
+    (tmp_path / "a" / "b" / "two words é.warc.gz").write_bytes(archive * 200)
+    (tmp_path / "a" / "other.txt").write_bytes(b"no archive")
+    rows = warc.read_archive_files(spark, f"{tmp_path}/a").collect()
+    assert len(rows) == 201 * len(records)
+    assert {(r.record_type, r.payload) for r in rows} == {(h[0][1], None if h[0][1] == "revisit" else payload) for h, _, payload in records}
+
+
+def test_unchunked():
+    assert warc.unchunked(b"3\r\nabc\r\n0\r\n\r\n") == b"abc" and warc.unchunked(b"3\nabc\n0\n") == b"abc"
+    assert all(warc.unchunked(x) is None for x in (b"", b"abc", b"5\r\nab", b"3\r\nabc\r\n", b"-1\r\n"))
