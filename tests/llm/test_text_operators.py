@@ -129,6 +129,47 @@ def test_every_part_within_reach(spark):
     assert c.identifiers == ["tenant_id: blue", "client_id: web-front"] and c.endpoints == ["https://a.example.com/v1", "https://b.example.com/v1"]
 
 
+def _plain_links(text, strong, reach):
+    """Every pair of a secret and an identifier or endpoint of its scope within reach, by comparing all with all."""
+    weak = secret_scan.weak_parts(text)
+    at, begin = 0, [0]
+    lines = text.split(b"\n")
+    for k, line in enumerate(lines):  # a scope begins after a blank line; runs of them part one pair at a time
+        at += len(line) + 1
+        if 0 < k < len(lines) - 1 and not line.strip(b" \t\r") and begin[-1] != at - len(line) - 1:
+            begin.append(at)
+    scope = lambda x: sum(b <= x[0] for b in begin)
+    spans, links = set(), {}
+    for x in sorted({*weak.get("secret", []), *((s, e) for s, e, _ in strong)}):
+        for kind in ("identifier", "endpoint"):
+            for y in weak.get(kind, []):
+                gap = max(y[0] - x[1], x[0] - y[1])
+                if 0 <= gap <= reach and scope(x) == scope(y):
+                    links.setdefault(x, {"identifier": [], "endpoint": []})[kind].append((gap, y))
+                    spans.add((*y, kind))
+                    if x in weak["secret"]:
+                        spans.add((*x, "secret"))
+    return sorted(spans), {x: {k: sorted(y for _, y in v) for k, v in kinds.items()} for x, kinds in links.items()}, {x: {k: min(v)[1] for k, v in kinds.items() if v} for x, kinds in links.items()}
+
+
+def test_links_against_all_pairs():
+    rng = random.Random(21)
+    key = lambda n: "".join(rng.choice("ABCDEFGHabcdefgh0123456789") for _ in range(n)) + "z9Q"
+    makes = [lambda: f"client_id: {key(3)}", lambda: f"app name = {key(rng.choice([3, 200]))}", lambda: f"https://h{rng.randrange(9)}.example.com/{key(4)}", lambda: f"db://{key(300)}", lambda: key(24), lambda: key(150), lambda: f"password={key(9)}", lambda: f"AKIA{key(0)}ABCDEFGHIJKLMNOPQ", lambda: "plain words é", lambda: "x " * rng.randrange(150), lambda: "\n", lambda: "\n \t\n", lambda: "\n\n\n"]
+    linked = 0
+    for _ in range(400):
+        text = " ".join(rng.choice(makes)() for _ in range(rng.randrange(25))).encode()
+        strong = secret_scan.base_spans(text)
+        reach = rng.choice([0, 30, 400])
+        spans, found = secret_scan.link(text, strong, reach)
+        want, links, nearest = _plain_links(text, strong, reach)
+        assert spans == want, text
+        assert {x["secret"]: {k: sorted(x[f"{k}s"]) for k in ("identifier", "endpoint")} for _, x in found} == links
+        assert {x["secret"]: {k: x[k] for k in ("identifier", "endpoint") if k in x} for _, x in found} == nearest
+        linked += len(found)
+    assert linked > 300
+
+
 def test_parts_without_spaces_and_long_parts():
     rng = random.Random(4)
     some = lambda n: "".join(rng.choice("ABCDEFGHabcdefgh0123456789") for _ in range(n - 2)) + "a1"
