@@ -9,6 +9,9 @@
 3. Classes that share a prefix token form a block. In it a signature tree holds in each node the OR of its members'
    token bitmaps and the range of their sizes; a traversal of two trees at once drops pairs of nodes whose largest
    possible overlap is too small. What is left links the classes to candidate groups (a spanning forest, not pairs).
+   The classes of a token that has many are dealt to cells, by size and least hash; a tree over the cells' OR bitmaps and
+   size ranges is traversed first, and only cells that may hold a link meet. Cells of equal members, as the tokens of
+   one group of copies have them, are one.
 4. Each candidate group is joined on its real sets by the same traversal with wider bitmaps, counting the tokens in
    common of the surviving pairs. Pairs that earlier links connect already need no count. Groups too large for a task
    are cut to blocks, by size and hash, and every pair of blocks with compatible sizes is a task of its own.
@@ -24,7 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens as T
@@ -38,8 +41,8 @@ FREQUENT_MOST = 65_536
 #: Bits of a bitmap: a power of two, a multiple of the set's size within these bounds.
 BITS_LEAST, BITS_MOST = 64, 32_768
 LEAF, FAN = 32, 8
-#: Members of a cell of bitmaps; larger blocks of one token are pairs of cells.
-CELL = 2048
+#: Members of a cell of bitmaps; the classes of a token that has more make up several cells.
+CELL = 512
 #: Members of a block of real sets, and tokens in it.
 BLOCK, BLOCK_TOKENS = 512, 200_000
 
@@ -101,16 +104,21 @@ class Tree:
         self.sizes, self.maps = sizes, maps
         self.spare = sizes - np.bitwise_count(maps).sum(1).astype(np.int64)  # tokens that share a bit with another
         order = np.lexsort((maps[:, 0], sizes)) if order is None else order
-        nodes = [self._node(order[i : i + LEAF], []) for i in range(0, len(order), LEAF)]
-        while len(nodes) > 1:
-            nodes = [self._over(nodes[i : i + FAN]) for i in range(0, len(nodes), FAN)]
-        self.root = nodes[0]
+        self.root = rooted([self._node(order[i : i + LEAF], []) for i in range(0, len(order), LEAF)])
 
     def _node(self, rows: np.ndarray, kids: list) -> Node:
         return Node(rows, kids, int(self.sizes[rows].min()), int(self.sizes[rows].max()), int(self.spare[rows].max()), np.bitwise_or.reduce(self.maps[rows], 0))
 
-    def _over(self, kids: list) -> Node:
-        return Node(None, kids, min(k.lo for k in kids), max(k.hi for k in kids), max(k.spare for k in kids), np.bitwise_or.reduce([k.map for k in kids], 0))
+
+def over(kids: list[Node]) -> Node:
+    return Node(None, kids, min(k.lo for k in kids), max(k.hi for k in kids), max(k.spare for k in kids), np.bitwise_or.reduce([k.map for k in kids], 0))
+
+
+def rooted(nodes: list[Node]) -> Node:
+    """The root of a tree over nodes in the order that they come in."""
+    while len(nodes) > 1:
+        nodes = [over(nodes[i : i + FAN]) for i in range(0, len(nodes), FAN)]
+    return nodes[0]
 
 
 def possible(overlap, least_sizes, percent: int):
@@ -118,10 +126,10 @@ def possible(overlap, least_sizes, percent: int):
     return (100 + percent) * overlap >= percent * least_sizes
 
 
-def traverse(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a and b (each pair once if the trees are one) that their bitmaps and sizes let link."""
-    same = a is b
-    stack = [(a.root, b.root)]
+def meet(one: Node, two: Node, percent: int) -> Iterator[tuple[Node, Node]]:
+    """Pairs of leaves below two nodes (each pair once if they are one) that their bitmaps and sizes let hold a link."""
+    same = one is two
+    stack = [(one, two)]
     while stack:
         x, y = stack.pop()
         if 100 * min(x.hi, y.hi) < percent * max(x.lo, y.lo):
@@ -137,12 +145,19 @@ def traverse(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.nd
         elif y.kids:
             stack += [(x, k) for k in y.kids]
         else:
-            i, j = np.repeat(x.rows, len(y.rows)), np.tile(y.rows, len(x.rows))
-            if x is y and same:
-                i, j = i[i < j], j[i < j]
-            keep = linkable(a.maps, a.sizes, b.maps, b.sizes, i, j, percent)
-            if keep.any():
-                yield i[keep], j[keep]
+            yield x, y
+
+
+def traverse(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a and b (each pair once if the trees are one) that their bitmaps and sizes let link."""
+    same = a is b
+    for x, y in meet(a.root, b.root, percent):
+        i, j = np.repeat(x.rows, len(y.rows)), np.tile(y.rows, len(x.rows))
+        if x is y and same:
+            i, j = i[i < j], j[i < j]
+        keep = linkable(a.maps, a.sizes, b.maps, b.sizes, i, j, percent)
+        if keep.any():
+            yield i[keep], j[keep]
 
 
 def linkable(maps_a, sizes_a, maps_b, sizes_b, i, j, percent: int) -> np.ndarray:
@@ -280,21 +295,24 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
                 tokens, cut = _prefixes(x, bounds, heavy, rank, percent)
                 wide = bits_for(n, 1)
                 maps = [bitmap(x[s:e], w).tobytes() for s, e, w in zip(bounds[:-1], bounds[1:], wide.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(maps, pa.binary()), lists(tokens.view(np.int64), cut, pa.int64())], ["doc_id", "n", "k1", "k2", "map", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(_least(x, bounds).view(np.int64)), pa.array(maps, pa.binary()), lists(tokens.view(np.int64), cut, pa.int64())], ["doc_id", "n", "k1", "k2", "least", "map", "prefix"])
 
-    made = scratch.write(docs.mapInArrow(sets, "doc_id long, n long, k1 long, k2 long, map binary, prefix array<long>"), "sets")
+    made = scratch.write(docs.mapInArrow(sets, "doc_id long, n long, k1 long, k2 long, least long, map binary, prefix array<long>"), "sets")
     some = made.where("n > 0 AND doc_id IS NOT NULL")
     classes = scratch.write(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     # a class is known by its smallest id from here on
-    mine = some.join(classes, ["k1", "k2", "n"]).where("doc_id = rep").dropDuplicates(["rep", "k1", "k2"]).select("rep", "n", "map", "prefix")
+    mine = some.join(classes, ["k1", "k2", "n"]).where("doc_id = rep").dropDuplicates(["rep", "k1", "k2"]).select("rep", "n", "least", "map", "prefix")
     mine = scratch.write(mine, "mine")
-    dealt = mine.select(F.explode("prefix").alias("token"), "rep", "n")
-    blocks = dealt.repartition(F.col("token")).sortWithinPartitions("token", "n", "rep").mapInArrow(_blocks(percent), "block long, first int, members array<long>")
-    blocks = scratch.write(blocks.groupBy("block").agg(F.first("first").alias("first"), F.first("members").alias("members")), "blocks")
-    rows = blocks.select("block", "first", F.posexplode("members").alias("k", "rep")).selectExpr("block", "CAST(k >= first AS INT) AS side", "rep").join(mine.select("rep", "n", "map"), "rep")
+    dealt = mine.select(F.explode("prefix").alias("token"), "rep", "n", "least")
+    many = scratch.write(dealt.groupBy("token").agg(F.count("*").alias("of")).where(F.col("of") > CELL), "many")
+    blocks = dealt.join(many, "token", "left_anti").select("token", "rep").repartition(F.col("token")).sortWithinPartitions("token", "rep").mapInArrow(_blocks, "block long, members array<long>")
+    blocks = blocks.groupBy("block").agg(F.first("members").alias("members"))
+    rows = blocks.selectExpr("block", "0 AS side", "explode(members) AS rep").join(mine.select("rep", "n", "map"), "rep").select("block", "side", "rep", "n", "map")
+    if not many.isEmpty():
+        rows = rows.union(_cells(dealt.join(many, "token"), mine.select("rep", "n", "map"), percent, scratch))
     near = rows.repartition(F.col("block")).sortWithinPartitions("block", "side", "rep").mapInArrow(_near(percent), "a long, b long")
     near = scratch.write(near.distinct(), "near")
-    scratch.drop("blocks", "mine")
+    scratch.drop("mine", "many", "cells", "celled", "members", "ors", "pairs")
     groups = scratch.write(components(near, scratch, "groups"), "groups")
 
     links = scratch.write(_exact(docs, groups.join(classes.selectExpr("rep AS node", "n", "k1", "k2"), "node"), size, percent, scratch), "links")
@@ -354,73 +372,102 @@ def _prefixes(x, bounds, heavy, rank, percent):
     return x[order[take]], cut
 
 
-def _blocks(percent: int):
-    """From rows sorted by token, size and class: the members of each token, in pairs of cells that sizes let link."""
+def _least(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The least hash of each set: near copies mostly have the same one."""
+    out, some = np.zeros(len(bounds) - 1, np.uint64), np.diff(bounds) > 0
+    if some.any():
+        out[some] = np.minimum.reduceat(T.mix(x ^ T.MUL_C), bounds[:-1][some])
+    return out
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by token and class: the members of each token that has two or more, CELL at most.
+
+    A block's id hashes its members: blocks of equal members become one.
+    """
+    for t in whole_runs(batches, "token"):
+        token, rep = t.column("token").to_numpy(), t.column("rep").to_numpy()
+        at = starts_of_runs(token)
+        count = np.diff(at)
+        pick = np.flatnonzero(count >= 2)
+        if not len(pick):
+            continue
+        starts, sizes = at[pick], count[pick]
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        members = rep[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])]
+        c = np.concatenate((np.zeros(1, np.uint64), np.cumsum(T.mix(members.view(np.uint64) + T.MUL_A), dtype=np.uint64)))
+        block = T.mix(c[bounds[1:]] - c[bounds[:-1]] + sizes.astype(np.uint64))
+        keep = np.zeros(len(block), bool)
+        keep[np.unique(block, return_index=True)[1]] = True  # of those within a batch, at once
+        yield pa.RecordBatch.from_arrays([pa.array(block[keep].view(np.int64)), lists(members[np.repeat(keep, sizes)], np.concatenate(([0], np.cumsum(sizes[keep]))), pa.int64())], ["block", "members"])
+
+
+def _cells(dealt: DataFrame, maps: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(block, side, rep, n, map) of the pairs of cells that may hold a link, from the classes of tokens that have many.
+
+    dealt: (token, rep, n, least, of), maps: (rep, n, map). A token's classes are parted by a step of their size and ranges of their least hash,
+    and cut there to cells of CELL; no step holds a token's classes in one task.
+    """
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int") if percent < 100 else F.col("n").cast("int")
+    parts = F.greatest(F.lit(1).cast("long"), F.expr(f"of div {8 * CELL}"))
+    keyed = dealt.withColumn("step", step).withColumn("part", F.pmod("least", parts))
+    place = F.row_number().over(Window.partitionBy("token", "step", "part").orderBy("least", "rep")) - 1
+    keyed = keyed.withColumn("cell", F.xxhash64("token", "step", "part", F.floor(place / CELL))).select("token", "cell", "rep").distinct()
+    celled = scratch.write(keyed, "celled")
+    cells = celled.groupBy("token", "cell").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.count("*").alias("c"))
+    cells = scratch.write(cells.select("token", "cell", F.xxhash64("x", "y", "c").alias("members")), "cells")
+    # cells of equal members are one, and so are tokens of equal cells
+    named = cells.groupBy("members").agg(F.min("cell").alias("cell"))
+    held = scratch.write(celled.join(named, "cell").select("members", "rep").distinct().join(maps, "rep"), "members")
+    ors = scratch.write(held.repartition(F.col("members")).sortWithinPartitions("members").mapInArrow(_joined, "members long, lo long, hi long, spare long, map binary"), "ors")
+    cells = cells.select("token", "members").distinct()
+    tokens = cells.groupBy("token").agg(F.bit_xor(F.xxhash64("members")).alias("x"), F.bit_xor(F.xxhash64("members", F.lit(1))).alias("y"), F.count("*").alias("c")).groupBy("x", "y", "c").agg(F.min("token").alias("token")).select("token")
+    listed = cells.join(tokens, "token").join(ors, "members")
+    pairs = scratch.write(listed.repartition(F.col("token")).sortWithinPartitions("token", "lo", "members").mapInArrow(_pairs(percent), "a long, b long").distinct(), "pairs")
+    pairs = pairs.select("a", "b", F.xxhash64("a", "b").alias("block"))
+    left = pairs.join(held, pairs["a"] == held["members"]).selectExpr("block", "0 AS side", "rep", "n", "map")
+    right = pairs.where("a <> b").join(held, F.col("b") == held["members"]).selectExpr("block", "1 AS side", "rep", "n", "map")
+    return left.union(right)
+
+
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each cell the OR of its bitmaps, at the width of the narrowest, the sizes' range, and the most tokens that share a bit."""
+    for t in whole_runs(batches, "members"):
+        members, n = t.column("members").to_numpy(), t.column("n").to_numpy()
+        maps = [np.frombuffer(m, np.uint64) for m in t.column("map").to_pylist()]
+        at = starts_of_runs(members)
+        out = []
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            words = min(len(m) for m in maps[s:e])
+            some = np.concatenate([fold(m[None], words) for m in maps[s:e]])
+            spare = int((n[s:e] - np.bitwise_count(some).sum(1).astype(np.int64)).max())
+            out.append((int(members[s]), int(n[s:e].min()), int(n[s:e].max()), spare, np.bitwise_or.reduce(some, 0).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.binary()], strict=True)], ["members", "lo", "hi", "spare", "map"])
+
+
+def _pairs(percent: int):
+    """From the cells of each token: a tree over them, and the pairs of cells that it lets hold a link, each with itself too."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_runs(batches, "token"):
-            token, rep, n = (t.column(c).to_numpy() for c in ("token", "rep", "n"))
-            at = starts_of_runs(token)
-            count = np.diff(at)
-            pick = np.flatnonzero((count >= 2) & (count <= CELL))
-            if len(pick):
-                starts, sizes = at[pick], count[pick]
-                bounds = np.concatenate(([0], np.cumsum(sizes)))
-                members = rep[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])]
-                yield _batch(members, np.zeros(len(members), np.int8), bounds)
-            for k in np.flatnonzero(count > CELL).tolist():
-                cells = list(_cells(rep[at[k] : at[k + 1]], n[at[k] : at[k + 1]], percent))
-                out: list[tuple[np.ndarray, np.ndarray]] = []
-                for i, (one, _, hi) in enumerate(cells):
-                    for j in range(i, len(cells)):
-                        other, lo, _ = cells[j]
-                        if j > i and 100 * hi < percent * lo:
-                            continue
-                        out.append((one, other if j > i else other[:0]))
-                        if len(out) >= 500:
-                            yield _pairs(out)
-                            out = []
-                if out:
-                    yield _pairs(out)
+            members, lo, hi, spare = (t.column(c).to_numpy() for c in ("members", "lo", "hi", "spare"))
+            maps = [np.frombuffer(m, np.uint64) for m in t.column("map").to_pylist()]
+            at = starts_of_runs(t.column("token").to_numpy())
+            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                words = min(len(m) for m in maps[s:e])
+                nodes = []
+                for k in range(s, e):  # a map that is folded has more tokens that share a bit: as many as bits went, at most
+                    m = fold(maps[k][None], words)[0]
+                    nodes.append(Node(np.array([k]), [], int(lo[k]), int(hi[k]), int(hi[k]) if len(maps[k]) > words else int(spare[k]), m))
+                root = rooted(nodes)
+                found = [(int(members[x.rows[0]]), int(members[y.rows[0]])) for x, y in meet(root, root, percent)]
+                for k in range(0, len(found), 100_000):
+                    a, b = np.array(found[k : k + 100_000], np.int64).T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
 
-def _cells(rep: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, int, int]]:
-    """Members in cells of similar sizes, large ones cut by hash: the same classes meet in the same cell under any token."""
-    step = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64) if percent < 100 else n
-    at = starts_of_runs(step)  # rows are in order of size
-    for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        parts = 1
-        while (e - s) > parts * CELL:
-            parts *= 2
-        part = T.mix(rep[s:e].view(np.uint64)) % U(parts)
-        for k in range(parts):
-            rows = s + np.flatnonzero(part == k)
-            if len(rows):
-                yield rep[rows], int(n[rows].min()), int(n[rows].max())
-
-
-def _pairs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    members = np.concatenate([x for pair in pairs for x in pair])
-    side = np.concatenate([np.repeat(np.array([0, 1], np.int8), [len(x), len(y)]) for x, y in pairs])
-    return _batch(members, side, np.cumsum([0, *(len(x) + len(y) for x, y in pairs)]))
-
-
-def _batch(members: np.ndarray, side: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
-    """A block's id hashes its members: blocks of equal members become one. Members come in a fixed order, side 1 last."""
-    group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((members, side, group))
-    members, side = members[order], side[order]
-    h = T.mix(members.view(np.uint64) + T.MUL_A * (side.astype(np.uint64) + U(1)))
-    c = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)))
-    block = T.mix(c[bounds[1:]] - c[bounds[:-1]] + np.diff(bounds).astype(np.uint64))
-    keep = np.zeros(len(block), bool)
-    keep[np.unique(block, return_index=True)[1]] = True  # of those within a batch, at once
-    left = np.bincount(group, side == 0, minlength=len(block)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(block[keep].view(np.int64)), pa.array(left[keep]), lists(members[np.repeat(keep, np.diff(bounds))], np.concatenate(([0], np.cumsum(np.diff(bounds)[keep]))), pa.int64())], ["block", "first", "members"])
-
-
 def _near(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_runs(batches, "block"):

@@ -149,6 +149,50 @@ def test_join_of_large_groups(spark):
     assert all(got[2650 + k] == 2650 + k for k in range(600))
 
 
+def test_cells_meet_where_links_may_be():
+    """A tree over cells' joined bitmaps keeps every pair of cells that holds a link, and drops most others."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    sets = [s for k in range(12) for s in _sets(rng, 12, 1, 200)]
+    sizes = np.array([len(s) for s in sets])
+    wide = jaccard_join.bits_for(sizes, 1)
+    cell = np.arange(len(sets)) // 12
+    rows = pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sizes), pa.array([jaccard_join.bitmap(s, int(w)).tobytes() for s, w in zip(sets, wide, strict=True)], pa.binary())], ["members", "n", "map"])
+    ors = pa.concat_tables(pa.Table.from_batches([b]) for b in jaccard_join._joined([rows])).combine_chunks()
+    listed = ors.append_column("token", pa.array([7] * len(ors))).to_batches()
+    pairs = {(int(a), int(b)) for batch in jaccard_join._pairs(80)(listed) for a, b in zip(batch.column("a").to_numpy(), batch.column("b").to_numpy(), strict=True)}
+    assert {tuple(sorted((int(cell[i]), int(cell[j])))) for i, j in _linked(sets)} <= pairs
+    assert len(pairs) < 0.7 * 12 * 13 / 2 and all((k, k) in pairs for k in range(12))
+
+
+def test_join_by_cells(spark, monkeypatch):
+    """Tokens of many classes go by cells: the same components as by brute force, whatever the cell's size."""
+    monkeypatch.setattr(jaccard_join, "CELL", 5)
+    rng = random.Random(11)
+    shared, rows = _words(rng, 30, "s"), []
+    for k in range(12):
+        base = _words(rng, rng.randrange(8, 80))
+        for _ in range(rng.randrange(1, 14)):
+            w = [*base]
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = f"c{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join([*(shared if k % 2 else shared[:9]), *w])))
+    rows += [(3, rows[40][1]), (3, f"{rows[41][1]} more"), (900, rows[5][1])]
+    got = {}
+    for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        got.setdefault(r.doc_id, set()).add(r.component_id)
+    plain = {k: t for k, t in rows if k != 3}
+    want = brute.components(list(plain.items()))
+    near = {k for k in plain if got[k] & got[3]}  # an id of three texts joins what its texts are linked with
+    assert all(got[k] == {want[k][1]} for k in plain if k not in near)
+    monkeypatch.setattr(jaccard_join, "CELL", 512)
+    again = {}
+    for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        again.setdefault(r.doc_id, set()).add(r.component_id)
+    assert got == again
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(k, k + 1) for k in range(40)]
     star = [(100, k) for k in range(101, 160)]
