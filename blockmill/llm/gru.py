@@ -22,8 +22,8 @@ WINDOW = 16
 
 @dataclass(frozen=True)
 class Shape:
-    hidden: int = 16
-    classes: int = 16
+    hidden: int = 32
+    classes: int = 32
     per_class: int = 64
     bands: int = 10
 
@@ -219,7 +219,7 @@ class Network:
 
 
 class Trainer:
-    """Adam over one process's texts."""
+    """Adam over one process's texts. Of the inputs' weights only the rows of words that a window has are moved."""
 
     def __init__(self, network: Network, rate: float):
         self.network, self.rate, self.steps = network, rate, 0
@@ -227,17 +227,34 @@ class Trainer:
         self.v = {k: np.zeros_like(v) for k, v in network.p.items()}
 
     def train(self, packed: Packed, ids: np.ndarray, classes: np.ndarray, start_id: int) -> None:
+        p = self.network.p
         for index, h, tape in self.network.windows(packed, ids, start_id, True):
             g = self.network.gradients(index, h, tape, ids, classes)
-            norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+            words = np.unique(tape[0])
+            g["x"] = g["x"][words]
+            norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
             self.steps += 1
-            rate = self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps) * min(1.0, len(index) / 1024)
+            # one factor for the rate, the bias of both averages and the clipped length of the gradient
+            scale = F32(min(1.0, 1 / max(norm, 1e-6)))
+            rate = F32(self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps) * min(1.0, len(index) / 1024))
             for k, x in g.items():
-                x *= F32(min(1.0, 1 / max(norm, 1e-6)))
-                m, v = self.m[k], self.v[k]
-                m += F32(0.1) * (x - m)
-                v += F32(0.01) * (x * x - v)
-                self.network.p[k] -= F32(rate) * m / (np.sqrt(v) + F32(1e-6))
+                x *= scale
+                m, v = (self.m[k], self.v[k]) if k != "x" else (self.m[k][words], self.v[k][words])
+                m *= F32(0.9)
+                m += F32(0.1) * x
+                v *= F32(0.99)
+                x *= x
+                x *= F32(0.01)
+                v += x
+                np.sqrt(v, out=x)
+                x += F32(1e-6)
+                np.divide(m, x, out=x)
+                x *= rate
+                if k == "x":
+                    self.m[k][words], self.v[k][words] = m, v
+                    p[k][words] -= x
+                else:
+                    p[k] -= x
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:

@@ -4,8 +4,10 @@
 2. Words of the largest counts, a bounded number, go to the tasks: the most frequent have an output of their own, the rest are
    in bands by count. All other words make up one more class, in which a word's probability is its count plus one over the
    class's; an unknown word is one word of that class. So the model gives probabilities to all texts, and they sum to one.
-3. The network begins on a bounded sample on the driver, and then every task trains a copy on all its training documents;
-   the copies' average, weighted by their tokens, is the model. Copies move as blocks of weights that are summed in a stream.
+3. A hash of id and text deals the training documents: a bounded number begins the network in one task; all others are in
+   rounds, and in each round in shards of about ROUND_TOKENS tokens. In a round every shard trains a copy of the last
+   round's network, and the average of the copies, weighted by their tokens, is the next. How the table lies plays no part.
+   Copies move as blocks of weights that are summed in a stream.
 4. Documents are scored whole, the state carried from window to window. What depends on the counts of words that the tasks
    don't hold is joined by Spark, as one row for each such word of a document.
 """
@@ -21,19 +23,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import Scratch, lists, slices, starts_of_runs, texts_of
-from .gru import Network, Packed, Shape, Trainer, flat, pack, start, unflat
+from .common import Scratch, lists, slices, starts_of_runs, texts_of, whole_runs
+from .gru import WINDOW, Network, Shape, Trainer, flat, pack, start, unflat
 
 U = np.uint64
 #: What ends every text, as a word's hash.
 END = U(0x656E64)
 #: Words whose counts the tasks hold, at most (16 bytes each), and bins by which their least count is found.
 HELD_MOST, BINS = 262_144, 16
-#: Documents of the driver's sample, about, and the longest of them in characters.
-WARM_DOCS, WARM_CHARS = 1500, 20_000
-#: Tokens that are packed at once, and the streams that they are packed on.
-PACK, STREAMS = 1_500_000, 512
-RATE_WARM, RATE = 0.006, 0.002
+#: Training tokens that the network begins with, about, and steps on them at least (by further passes over them, few at most).
+BEGIN_TOKENS, BEGIN_STEPS, PASSES_MOST = 1_000_000, 400, 8
+#: Rounds, tokens of a shard in a round, about, and tasks that a round's shards are dealt to, at most.
+ROUNDS, ROUND_TOKENS, TASKS_MOST = 4, 1_000_000, 8192
+#: Tokens that are packed for scoring at once, and the streams that tokens are packed on in scoring and in training.
+PACK, STREAMS, TRAIN_STREAMS = 1_500_000, 256, 128
+RATE_BEGIN, RATE = 0.008, 0.004
 #: Blocks that a copy's weights move in.
 BLOCKS = 16
 COUNT_RUN = 1_500_000
@@ -138,71 +142,84 @@ def _held(counts: DataFrame, tokens_: int, types: int, shape: Shape) -> Vocabula
     return Vocabulary.make(words, n, tokens_, types, shape)
 
 
-def _packs(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[Packed, np.ndarray, np.ndarray]]:
-    """Packed texts, inputs and classes, of about PACK tokens at a time."""
-    ids, classes, bounds = [], [], [0]
-    for batch in batches:
-        for part in slices(batch, "text"):
-            h, b = tokens(texts_of(part.column("text")))
-            i, c, _ = vocabulary.look_up(h)
-            ids.append(i)
-            classes.append(c)
-            bounds += (b[1:] + bounds[-1]).tolist()
-            if bounds[-1] >= PACK:
-                yield pack(np.array(bounds), STREAMS), np.concatenate(ids), np.concatenate(classes)
-                ids, classes, bounds = [], [], [0]
-    if len(bounds) > 1:
-        yield pack(np.array(bounds), STREAMS), np.concatenate(ids), np.concatenate(classes)
-
-
-def _warm(docs: DataFrame, n_docs: int, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    """The network after a bounded sample of training documents, drawn by a hash of the id."""
-    share = min(1.0, WARM_DOCS / max(1, n_docs))
-    drawn = docs.where((F.pmod(F.xxhash64("doc_id", F.lit("warm")), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.length("text") <= WARM_CHARS)).limit(4 * WARM_DOCS)
-    rows = drawn.select("doc_id", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    network = Network(vocabulary.shape, start(vocabulary.shape, vocabulary.input_counts()))
-    trainer = Trainer(network, RATE_WARM)
-    for packed, ids, classes in _packs(rows.to_batches(), vocabulary):
-        trainer.train(packed, ids, classes, vocabulary.start_id)
-    return network.p
-
-
-def _trained(docs: DataFrame, vocabulary: Vocabulary, warm: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The average of the tasks' copies, each trained on all training documents of its task."""
-    spark, shape = docs.sparkSession, vocabulary.shape
-    sent = spark.sparkContext.broadcast((vocabulary, flat(warm)))
-    size = len(flat(warm))
+def _classes(ids: np.ndarray, shape: Shape) -> np.ndarray:
+    return np.where(ids < shape.head, ids // shape.per_class, shape.classes + ids - shape.head).astype(np.int32)
+
+
+def _coded(docs: DataFrame, vocabulary: Vocabulary, shards: int, begin: float) -> DataFrame:
+    """(round, shard, key, ids): each document's inputs, two bytes a token, and where it is learned from; round 0 begins."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                h, bounds = tokens(texts_of(part.column("text")))
+                ids = sent.value.look_up(h)[0].astype("<i2")
+                key = T.mix(part.column("key").to_numpy().view(np.uint64))
+                first = (key >> U(40)).astype(np.float64) < begin * (1 << 24)
+                key = T.mix(key + U(1))
+                turn = np.where(first, 0, 1 + (key % U(ROUNDS)).astype(np.int64))
+                shard = np.where(first, 0, (T.mix(key) % U(shards)).astype(np.int64))
+                cuts = pa.py_buffer((2 * bounds).astype(np.int32))
+                coded = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, cuts, pa.py_buffer(np.ascontiguousarray(ids))])
+                yield pa.RecordBatch.from_arrays([pa.array(turn, pa.int32()), pa.array(shard, pa.int32()), pa.array(key.view(np.int64)), coded], ["round", "shard", "key", "ids"])
+
+    keyed = docs.select(F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("key"), "text")
+    return keyed.mapInArrow(code, "round int, shard int, key long, ids binary")
+
+
+def _round(coded: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, tasks: int, begin: bool) -> np.ndarray:
+    """The average of the shards' copies, each trained on the documents of its shard in the order of their keys."""
+    spark, shape = coded.sparkSession, vocabulary.shape
+    sent = spark.sparkContext.broadcast((weights, vocabulary.start_id))
 
     def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weights = sent.value
-        network = Network(shape, {k: v.copy() for k, v in unflat(shape, weights).items()})
-        trainer, n = Trainer(network, RATE), 0
-        for packed, ids, classes in _packs(batches, vocabulary):
-            trainer.train(packed, ids, classes, vocabulary.start_id)
-            n += len(ids)
-        if n:
-            parts = np.array_split(flat(network.p), BLOCKS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([n] * BLOCKS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "n", "weights"])
+        weights, start_id = sent.value
+        for t in whole_runs(batches, "shard"):
+            shard = t.column("shard").to_numpy()
+            at = starts_of_runs(shard)
+            raw = t.column("ids").to_pylist()
+            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                ids = np.frombuffer(b"".join(raw[s:e]), "<i2").astype(np.int32)
+                packed = pack(np.cumsum([0, *(len(x) // 2 for x in raw[s:e])]), TRAIN_STREAMS)
+                network = Network(shape, {k: v.copy() for k, v in unflat(shape, weights).items()})
+                trainer = Trainer(network, RATE_BEGIN if begin else RATE)
+                for _ in range(min(PASSES_MOST, -(-BEGIN_STEPS * WINDOW // len(packed.index))) if begin else 1):
+                    trainer.train(packed, ids, _classes(ids, shape), start_id)
+                parts = np.array_split(flat(network.p), BLOCKS)
+                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([int(shard[s])] * BLOCKS, pa.int32()), pa.array([len(ids)] * BLOCKS, pa.int64()), pa.array([x.astype(np.float64).tobytes() for x in parts], pa.binary())], ["block", "shard", "n", "weights"])
 
     def average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        n: dict[int, int] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
+        n: dict[tuple[int, int], int] = {}
         for batch in batches:
-            for k, m, w in zip(batch.column("block").to_pylist(), batch.column("n").to_pylist(), batch.column("weights").to_pylist(), strict=True):
-                x = np.frombuffer(w, np.float32).astype(np.float64) * m
+            for *k, m, w in zip(batch.column("block").to_pylist(), batch.column("shard").to_pylist(), batch.column("n").to_pylist(), batch.column("weights").to_pylist(), strict=True):
+                k = tuple(k)
+                x = np.frombuffer(w, np.float64) * m
                 total[k] = total[k] + x if k in total else x
                 n[k] = n.get(k, 0) + m
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64()), pa.array([(total[k] / n[k]).astype(np.float32).tobytes() for k in n], pa.binary())], ["block", "n", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in n], pa.int32()), pa.array([s for _, s in n], pa.int32()), pa.array(list(n.values()), pa.int64()), pa.array([(total[k] / n[k]).tobytes() for k in n], pa.binary())], ["block", "shard", "n", "weights"])
+
+    schema = "block int, shard int, n long, weights binary"
+    dealt = coded.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "key", "ids")
+    copies = dealt.select("shard", "ids").mapInArrow(train, schema)
+    # sums in two steps, in the order of the shards: those of up to 64 groups of copies, then those of the groups
+    grouped = copies.repartition(F.col("block"), F.col("shard") % 64).sortWithinPartitions("block", "shard").withColumn("shard", F.col("shard") % 64)
+    rows = grouped.mapInArrow(average, schema).repartition(F.col("block")).sortWithinPartitions("block", "shard").withColumn("shard", F.lit(0)).mapInArrow(average, schema).orderBy("block").collect()
+    return np.concatenate([np.frombuffer(r["weights"], np.float64) for r in rows]).astype(np.float32) if rows else weights
+
 
-    schema = "block int, n long, weights binary"
-    copies = docs.select("text").mapInArrow(train, schema)
-    # sums in two steps: those of up to 64 groups of copies, then those of the groups
-    first = copies.withColumn("salt", F.pmod(F.xxhash64("n", "weights"), F.lit(64))).repartition(F.col("block"), F.col("salt")).drop("salt").mapInArrow(average, schema)
-    rows = first.repartition(F.col("block")).mapInArrow(average, schema).orderBy("block").collect()
-    out = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in rows]) if rows else flat(warm)
-    assert len(out) == size
-    return unflat(shape, out)
+def _trained(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch) -> dict[str, np.ndarray]:
+    """The network after a begin and ROUNDS rounds over the training documents."""
+    shape, weights = vocabulary.shape, flat(start(vocabulary.shape, vocabulary.input_counts()))
+    begin = min(1.0, BEGIN_TOKENS / vocabulary.tokens)
+    shards = max(1, -(-vocabulary.tokens // (ROUNDS * ROUND_TOKENS)))
+    coded = scratch.write(_coded(docs, vocabulary, shards, begin), "coded", "round")
+    for k in range(ROUNDS + 1 if begin < 1 else 1):
+        weights = _round(coded.where(F.col("round") == k), vocabulary, weights, min(shards, TASKS_MOST) if k else 1, k == 0)
+    scratch.drop("coded")
+    return unflat(shape, weights)
 
 
 def score_documents(docs: DataFrame, held_out: "F.Column | None" = None, shape: Shape = Shape(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,8 +229,8 @@ def score_documents(docs: DataFrame, held_out: "F.Column | None" = None, shape:
     crc32(id as text) mod 7 is 2). Scores are base-10 logarithms of the probability of the whole text and its end; the base
     score is that of a unigram model with one added to each count, and one more word for the unknown.
 
-    Null, empty and blank texts are scored as an end alone. A null id hashes as an empty text. Repeated rows are scored, and
-    learned from, each. Other columns are ignored, whatever their names. No rows give no rows; without training rows both
+    Scores depend on the rows alone, not on how they lie in partitions (but for rounding). Null, empty and blank texts are
+    scored as an end alone. A null id hashes as an empty text. Repeated rows are scored, and learned from, each. Other columns are ignored, whatever their names. No rows give no rows; without training rows both
     scores take all words for unknown.
     """
     spark = docs.sparkSession
@@ -222,9 +239,9 @@ def score_documents(docs: DataFrame, held_out: "F.Column | None" = None, shape:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), rule.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     training = rows.where("NOT held_out")
     counts = scratch.write(training.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types"), F.coalesce(F.sum(F.when(F.col("word") == int(END), F.col("n"))), F.lit(0)).alias("docs")).first()
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
     vocabulary = _held(counts, sums["tokens"], sums["types"], shape)
-    model = _trained(training, vocabulary, _warm(training, sums["docs"], vocabulary)) if sums["tokens"] else start(shape, vocabulary.input_counts())
+    model = _trained(training, vocabulary, scratch) if sums["tokens"] else start(shape, vocabulary.input_counts())
     scored = scratch.write(rows.mapInArrow(_scorer(spark.sparkContext.broadcast((vocabulary, flat(model))), shape), SCORED), "scored")
 
     # the words that tasks don't hold: a row for each of a document

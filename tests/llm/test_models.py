@@ -283,3 +283,12 @@ def test_long_and_repeated_rows_are_learned_from(spark):
     scores = {r.doc_id: r.score for r in quality_mil.score(docs, model).collect()}
     assert sum((scores[k] >= 0.5) == (k % 2 == 0) for k in range(300)) > 290
     assert quality_mil.spread(10, 24) == list(range(10)) and quality_mil.spread(100, 4) == [0, 33, 66, 99] and quality_mil.spread(5, 1) == [0]
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BEGIN_TOKENS", 40_000)
+    monkeypatch.setattr(lm_score, "ROUND_TOKENS", 15_000)
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    scores = [{r.doc_id: r.score for r in lm_score.score_documents(df.repartition(n)).collect()} for n in (2, 16)]
+    assert scores[0].keys() == scores[1].keys()
+    assert all(abs(scores[1][k] - v) < 1e-4 * abs(v) for k, v in scores[0].items())
