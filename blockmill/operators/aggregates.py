@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.registry import bag_of, presence_bitmap
 from ..types import SchemaError, is_number
+from .percentiles import EXACT, percentiles
 from .rows import need
 
 
@@ -68,22 +69,51 @@ def column(a: Aggregate, schema: T.StructType, strict: bool = False) -> Column:
         return F.collect_list(x)
     if kind == "PRESENCE_BITMAP":
         return presence_bitmap(x, *a.args)
-    if kind == "MEDIAN":
-        return F.median(x)
-    if kind == "PERCENTILE":
-        return F.percentile(x, *a.args)
     raise SchemaError(f"unknown aggregate {a.kind}")
 
 
+def share(a: Aggregate) -> float:
+    p = 0.5 if a.kind.upper() == "MEDIAN" else float(a.args[0])
+    if not 0 <= p <= 1:
+        raise SchemaError(f"no percentile {p}")
+    return p
+
+
+def exact(a: Aggregate, schema: T.StructType) -> bool:
+    """Whether it is a percentile, which `percentiles` works out; others are folded by Spark."""
+    if a.user is not None or a.kind.upper() not in EXACT:
+        return False
+    if not a.columns or a.columns[0] not in schema.names:
+        raise SchemaError(f"{a.kind} needs a column")
+    if not is_number(schema[a.columns[0]].dataType):
+        raise SchemaError(f"{a.kind} of {schema[a.columns[0]].dataType.simpleString()}")
+    return True
+
+
+def by_column(aggregates: list[Aggregate]) -> dict[str, list[Aggregate]]:
+    out: dict[str, list[Aggregate]] = {}
+    for a in aggregates:
+        out.setdefault(a.columns[0], []).append(a)
+    return out
+
+
 def group(df: DataFrame, by: list[str], aggregates: list[Aggregate] = (), strict: bool = False) -> DataFrame:
     """A row for each group: its keys, then the aggregates. Without aggregates, the distinct keys. Null keys are a group.
 
     by=[] is GROUP ALL: one row, and none if there are no rows.
     """
     need(df, by)
-    columns = [column(a, df.schema, strict).alias(a.output) for a in aggregates]
-    if not by:
-        if not columns:
-            raise SchemaError("GROUP ALL needs aggregates")
-        return df.agg(F.count("*").alias("_rows"), *columns).where("_rows > 0").drop("_rows")
-    return df.groupBy(*by).agg(*columns) if columns else df.select(*by).distinct()
+    ranked = [a for a in aggregates if exact(a, df.schema)]
+    columns = [column(a, df.schema, strict).alias(a.output) for a in aggregates if a not in ranked]
+    if not by and not aggregates:
+        raise SchemaError("GROUP ALL needs aggregates")
+    if not ranked:
+        if not by:
+            return df.agg(F.count("*").alias("_rows"), *columns).where("_rows > 0").drop("_rows")
+        return df.groupBy(*by).agg(*columns) if columns else df.select(*by).distinct()
+    keys = [F.col(f"`{c}`") for c in by]
+    out = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *columns).where("_rows > 0").withColumn("cell", F.struct(F.lit(0).alias("_"), *keys))
+    for c, some in by_column(ranked).items():
+        values = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.struct(F.lit(0).alias("_"), *keys).alias("cell"), F.col(f"`{c}`").cast("double").alias("value")).agg(F.count("*").alias("n"))
+        out = out.join(percentiles(values, {a.output: share(a) for a in some}), "cell", "left")
+    return out.select(*by, *(a.output for a in aggregates))

@@ -1,17 +1,23 @@
 """Blocks: co-partitioned, sorted units of rows with an id, so that later joins and cubes need no shuffle.
 
-A row's bucket is its partition keys' hash modulo the number of buckets. Within a bucket, in order of the keys, a block
-ends at the first change of key once it has enough rows, bytes or keys. Only the keys' counts are walked, as a stream,
-to find those places; rows get their block ids by a join on the keys, for which they lie right already.
+A row's bucket is its partition keys' hash modulo the number of buckets, and rows are dealt by the keys, so that partition k
+holds bucket k. Within a bucket, in order of the keys, a block ends at the first change of key once it has enough rows,
+bytes or keys. Only the keys' counts are walked to find those places; rows get their block ids by a join on the keys, for
+which they lie right already, and relations of one layout are joined by their keys without another exchange.
+
+Keys are packed in a struct where rows are dealt and joined: its hash is the keys' hash, and null keys are equal in it, so
+that Spark knows two relations that were dealt by it to lie alike.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +26,9 @@ from ..types import SchemaError, parse_schema, show_schema
 from .rows import need
 
 BLOCK, BUCKET = "_block_id", "_bucket"
+META = "_blocks.json"
+#: Bytes of a bucket, about, and buckets at most.
+BUCKET_BYTES, BUCKETS_MOST = 256 << 20, 1 << 17
 KINDS = ("ROW", "SIZE", "PARTITION_KEY")
 
 
@@ -41,41 +50,72 @@ def width(schema: T.StructType) -> Column:
     return out
 
 
-def block_id(bucket: Column, number: Column) -> Column:
-    return F.shiftleft(bucket.cast("long"), 32) + number
+def packed(keys: list[str]) -> Column:
+    """The keys as one value, whatever their names."""
+    return F.struct(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)))
+
+
+def buckets_for(df: DataFrame) -> int:
+    """Buckets of about BUCKET_BYTES of what df is read from, as many as Spark deals a shuffle to at least."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(BUCKETS_MOST, -(-size // BUCKET_BYTES)))
+
 
+def blockgen(df: DataFrame, kind: str, n: int, keys: list[str], order: list[str] = (), buckets: int | None = None, distinct: bool = False) -> DataFrame:
+    """df with _block_id, dealt by the keys and sorted by block, keys and order. kind: ROW, SIZE (bytes) or PARTITION_KEY.
 
-def blockgen(df: DataFrame, kind: str, n: int, keys: list[str], order: list[str] = (), buckets: int = 8, distinct: bool = False) -> DataFrame:
-    """df with _block_id, dealt and sorted by bucket, keys and order. kind: ROW, SIZE (bytes) or PARTITION_KEY."""
+    buckets: by default as many as the size of the input asks for. All rows of a key are in one block, and so in one task.
+    """
     kind = kind.upper()
     if kind not in KINDS:
         raise SchemaError(f"no blocks by {kind}")
     need(df, [*keys, *order])
-    df = (df.distinct() if distinct else df).withColumn(BUCKET, bucket_of(keys, buckets))
+    buckets = buckets or buckets_for(df)
+    df = df.distinct() if distinct else df
     cost = {"ROW": F.count("*"), "SIZE": F.sum(width(df.schema)), "PARTITION_KEY": F.lit(1).cast("long")}[kind]
-    counts = df.groupBy(BUCKET, *keys).agg(cost.alias("_cost"))
-    numbered = counts.repartition(buckets, BUCKET).sortWithinPartitions(BUCKET, *(F.col(k).asc_nulls_first() for k in keys))
-    schema = T.StructType([*(counts.schema[c] for c in (BUCKET, *keys)), T.StructField("_number", T.LongType())])
+    counts = df.groupBy(packed(keys).alias("_k")).agg(cost.alias("_cost")).withColumn(BUCKET, F.pmod(F.hash("_k"), F.lit(buckets)))
+    # whole buckets in each partition, in order of the keys
+    walked = counts.repartition(buckets, "_k").sortWithinPartitions(BUCKET, "_k").mapInArrow(_cutter(n), T.StructType([counts.schema["_k"], T.StructField(BLOCK, T.LongType())]))
+    return _laid(_with(df, keys, walked.repartition(buckets, "_k"), buckets), keys, order)
+
+
+def _with(df: DataFrame, keys: list[str], ids: DataFrame, buckets: int) -> DataFrame:
+    """df dealt by the keys, with the block id of its key."""
+    rows = df.repartition(buckets, packed(keys))
+    return rows.join(ids, packed(keys) == F.col("_k")).drop("_k")
+
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _laid(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    return df.sortWithinPartitions(BLOCK, *(F.col(c).asc_nulls_first() for c in dict.fromkeys([*keys, *(order or keys)])))
+
+
+def _cutter(n: int):
+    """Numbers the blocks of each bucket: keys come in order with their costs, and a block ends with the key that fills it."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, number, cost = None, 0, 0
-        for part in batches:
-            out = []
-            for b, c in zip(part[BUCKET].tolist(), part["_cost"].tolist(), strict=True):
-                if b != bucket:
-                    bucket, number, cost = b, 0, 0
-                elif cost >= n:
-                    number, cost = number + 1, 0
-                cost += c
-                out.append(number)
-            yield part.drop(columns="_cost").assign(_number=out)
-
-    ids = numbered.mapInPandas(cut, schema).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(BUCKET).alias("_b"), "_number")
-    on = [df[k].eqNullSafe(ids[f"_k{i}"]) for i, k in enumerate(keys)] + [df[BUCKET] == ids["_b"]]
-    out = df.join(ids, on).withColumn(BLOCK, block_id(F.col(BUCKET), F.col("_number")))
-    out = out.drop("_b", "_number", *(f"_k{i}" for i in range(len(keys))))
-    sort = list(dict.fromkeys([*keys, *(order or keys)]))
-    return out.drop(BUCKET).repartition(buckets, BLOCK).sortWithinPartitions(BLOCK, *(F.col(c).asc_nulls_first() for c in sort))
+        for batch in batches:
+            of, costs = batch.column(BUCKET).to_numpy(), batch.column("_cost").to_numpy()
+            out = np.empty(batch.num_rows, np.int64)
+            ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, batch.num_rows) if batch.num_rows else []
+            at = 0
+            for end in map(int, ends):
+                if of[at] != bucket:
+                    bucket, number, cost = of[at], 0, 0
+                upto, base = cost + np.cumsum(costs[at:end]), 0
+                first = at
+                while at < end:  # a step for each block
+                    stop = first + int(np.searchsorted(upto, base + n)) + 1
+                    out[at:stop] = (int(bucket) << 32) + number
+                    if stop > end:
+                        cost = int(upto[-1]) - base
+                        break
+                    at, base, number, cost = stop, int(upto[stop - 1 - first]), number + 1, 0
+                at = end
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(out)], ["_k", BLOCK])
+
+    return cut
 
 
 @dataclass
@@ -87,7 +127,7 @@ class Meta:
     sort_keys: list[str]
     buckets: int
     blockgen_id: str
-    version: int = 1
+    version: str
 
 
 def boundaries(blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,29 +139,32 @@ def boundaries(blocks: DataFrame, keys: list[str]) -> DataFrame:
 def blockgen_by_index(df: DataFrame, index: DataFrame, keys: list[str], order: list[str] = (), buckets: int = 8, index_keys: list[str] | None = None) -> DataFrame:
     """df dealt to the blocks of another relation (`boundaries` of it): each key goes to the block whose range holds it.
 
-    Keys before a bucket's first block go to that block; a bucket that the index lacks raises.
+    buckets: those of the other relation. Keys before a bucket's first block go to that block; a bucket that the index lacks raises.
     """
     need(df, [*keys, *order])
-    names = [f"_c{i}" for i in range(len(keys))]
     fields = index.schema["_first"].dataType.fields
-    marks = index.select(F.col(BUCKET), F.col(BLOCK), *(F.col("_first").getField(f.name).cast(df.schema[k].dataType).alias(n) for f, k, n in zip(fields, keys, names, strict=True)))
-    distinct = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).distinct().withColumn(BUCKET, F.pmod(F.hash(*names), F.lit(buckets)))
-    both = marks.withColumn("_data", F.lit(0)).unionByName(distinct.withColumn(BLOCK, F.lit(None).cast("long")).withColumn("_data", F.lit(1)))
-    by = Window.partitionBy(BUCKET).orderBy(*(F.col(n).asc_nulls_first() for n in names), "_data")
-    routed = both.withColumn("_id", F.coalesce(F.last(BLOCK, ignorenulls=True).over(by), F.first(BLOCK, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing)))).where("_data = 1")
-    routed = routed.withColumn("_id", F.when(F.col("_id").isNull(), F.raise_error(F.lit("the index has no block for a key's bucket")).cast("long")).otherwise(F.col("_id"))).select(*names, "_id")
-    on = [df[k].eqNullSafe(routed[n]) for k, n in zip(keys, names, strict=True)]
-    out = df.join(routed, on).drop(*names).withColumnRenamed("_id", BLOCK)
-    sort = list(dict.fromkeys([*keys, *(order or keys)]))
-    return out.repartition(buckets, BLOCK).sortWithinPartitions(BLOCK, *(F.col(c).asc_nulls_first() for c in sort))
+    first = F.struct(*(F.col("_first").getField(f.name).cast(df.schema[k].dataType).alias(f"k{i}") for i, (f, k) in enumerate(zip(fields, keys, strict=True))))
+    marks = index.select(F.col(BUCKET), F.col(BLOCK), first.alias("_k"), F.lit(0).alias("_data"))
+    there = df.select(packed(keys).alias("_k")).distinct().select(F.pmod(F.hash("_k"), F.lit(buckets)).alias(BUCKET), F.lit(None).cast("long").alias(BLOCK), "_k", F.lit(1).alias("_data"))
+    every = Window.partitionBy(BUCKET)
+    upto = every.orderBy("_k", "_data").rowsBetween(Window.unboundedPreceding, 0)
+    routed = marks.unionByName(there).select("_k", "_data", F.coalesce(F.last(BLOCK, ignorenulls=True).over(upto), F.min(BLOCK).over(every)).alias("_id")).where("_data = 1")
+    lacking = F.raise_error(F.lit("the index has no block for a key's bucket")).cast("long")
+    # the condition holds for all: it makes the check run where nothing else asks for the ids
+    routed = routed.select("_k", F.when(F.col("_id").isNull(), lacking).otherwise(F.col("_id")).alias(BLOCK)).where(F.col(BLOCK) >= 0)
+    return _laid(_with(df, keys, routed.repartition(buckets, "_k"), buckets), keys, order)
 
 
 def matched_join(left: DataFrame, lname: str, lkeys: list[str], right: DataFrame, rname: str, rkeys: list[str], kind: str = "") -> DataFrame:
-    """A merge join block by block: rows meet only within blocks of equal ids."""
+    """A merge join of two relations of one layout, by the keys that they were dealt by: neither side is dealt again.
+
+    In one layout rows of equal keys are in blocks of equal ids, so that rows meet within blocks only. Other keys than those
+    that the blocks were dealt by are joined as well, after another exchange.
+    """
     from .joins import merge_join
 
-    out = merge_join(left, lname, [BLOCK, *lkeys], right, rname, [BLOCK, *rkeys], kind)
-    return out.drop(f"{lname}___{BLOCK}", f"{rname}___{BLOCK}")
+    left, right = left.drop(BLOCK), right.drop(BLOCK)
+    return merge_join(left, lname, lkeys, right, rname, rkeys, kind, whole=True)
 
 
 def validate(blocks: DataFrame, keys: list[str], order: list[str] = (), buckets: int = 8, kind: str | None = None, n: int = 0) -> DataFrame:
@@ -175,28 +218,40 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def save(blocks: DataFrame, path: str, keys: list[str], order: list[str] = (), buckets: int = 8, blockgen_id: str = "", overwrite: bool = False) -> None:
-    """Blocks as Parquet, each in one file and in order, beside a metadata file and the blocks' boundaries."""
+    """Blocks as Parquet, each in one file and in order, beside a metadata file and the blocks' boundaries.
+
+    Data and boundaries go to a folder of a new name, and the metadata, which names it, is written last: a store that is
+    written over is the old one until then. Folders that no metadata names are removed afterwards.
+    """
     if BLOCK not in blocks.columns:
         raise SchemaError("only blocks can be stored as blocks: use blockgen first")
-    mode = "overwrite" if overwrite else "errorifexists"
-    blocks.write.mode(mode).parquet(f"{path}/data")
-    stored = blocks.sparkSession.read.schema(blocks.schema).parquet(f"{path}/data")
-    boundaries(stored, keys).write.mode(mode).parquet(f"{path}/index")
+    spark = blocks.sparkSession
+    where, fs = _fs(spark, f"{path}/{META}")
+    if fs.exists(where) and not overwrite:
+        raise SchemaError(f"{path} holds blocks already")
+    version = f"v-{uuid.uuid4().hex}"
+    blocks.write.parquet(f"{path}/{version}/data")
+    stored = spark.read.schema(blocks.schema).parquet(f"{path}/{version}/data")
+    boundaries(stored, keys).write.parquet(f"{path}/{version}/index")
     plain = T.StructType([f for f in blocks.schema if f.name != BLOCK])
-    write_text(blocks.sparkSession, f"{path}/_blocks.json", json.dumps(asdict(Meta(show_schema(plain), list(keys), list(order or keys), buckets, blockgen_id or path))))
+    write_text(spark, f"{path}/{META}", json.dumps(asdict(Meta(show_schema(plain), list(keys), list(order or keys), buckets, blockgen_id or path, version))))
+    for other in fs.listStatus(where.getParent()):
+        name = other.getPath().getName()
+        if name.startswith("v-") and name != version:
+            fs.delete(other.getPath(), True)
 
 
 def meta(spark: SparkSession, path: str) -> Meta:
-    return Meta(**json.loads(read_text(spark, f"{path}/_blocks.json")))
+    return Meta(**json.loads(read_text(spark, f"{path}/{META}")))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    known = parse_schema(meta(spark, path).schema)
-    return spark.read.schema(T.StructType([*known, T.StructField(BLOCK, T.LongType())])).parquet(f"{path}/data")
+    m = meta(spark, path)
+    return spark.read.schema(T.StructType([*parse_schema(m.schema), T.StructField(BLOCK, T.LongType())])).parquet(f"{path}/{m.version}/data")
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/index")
+    return spark.read.parquet(f"{path}/{meta(spark, path).version}/index")
 
 
 def load_matching(spark: SparkSession, path: str, relation: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..types import SchemaError
-from .aggregates import Aggregate, column
+from .aggregates import Aggregate, by_column, column, exact, share
+from .percentiles import percentiles
 from .rows import need
 
 Sets = list[tuple[str, ...]]
@@ -60,12 +61,14 @@ def cube(df: DataFrame, dims: list[str], aggregates: list[Aggregate], sets: Sets
                 df = df.withColumn(d, F.when(F.col(d).isNull(), F.raise_error(F.lit(f"null in dimension {d}")).cast(t)).otherwise(F.col(d)))
     gid = F.grouping_id().alias("_gid")
     plain = [a for a in aggregates if not a.kind.startswith("[") and not (a.kind.upper() == "COUNT_DISTINCT" and inner)]
+    ranked = [a for a in plain if exact(a, df.schema)]
+    plain = [a for a in plain if a not in ranked]
     dual = [a for a in aggregates if a.kind.startswith("[")]
     members = [a for a in aggregates if a.kind.upper() == "COUNT_DISTINCT" and inner]
     if dual and not inner:
         raise SchemaError("a two-level aggregate needs INNER dimensions")
     parts: list[DataFrame] = []
-    if plain:
+    if plain or ranked:
         parts.append(df.groupingSets([list(s) for s in sets], *dims).agg(gid, *(column(_additive(a), df.schema).alias(a.output) for a in plain)))
     if dual or members:
         # cells are expanded with the inner key kept, folded, and folded again
@@ -81,11 +84,16 @@ def cube(df: DataFrame, dims: list[str], aggregates: list[Aggregate], sets: Sets
         bits = len(inner)
         cells = cells.withColumn("_gid", F.shiftright("_gid", bits))
         parts.append(cells.groupBy(*dims, "_gid").agg(*high))
+    for c, some in by_column(ranked).items():  # counts of values by the finest cell, then by all
+        counts = df.where(F.col(f"`{c}`").isNotNull()).groupBy(*dims, F.col(f"`{c}`").cast("double").alias("_value")).agg(F.count("*").alias("_n"))
+        counts = counts.groupingSets([[*s, "_value"] for s in sets], *dims, "_value").agg(F.shiftright(F.grouping_id(), 1).alias("_gid"), F.sum("_n").alias("n"))
+        cells = counts.select(F.struct("_gid", *dims).alias("cell"), F.col("_value").alias("value"), "n")
+        parts.append(percentiles(cells, {a.output: share(a) for a in some}).select("cell.*", *(a.output for a in some)))
     out = parts[0]
     for other in parts[1:]:
         right = other.select(*(F.col(c).alias(f"_r_{c}" if c in (*dims, "_gid") else c) for c in other.columns))
         on = [out[c].eqNullSafe(right[f"_r_{c}"]) for c in (*dims, "_gid")]
-        out = out.join(right, on).drop(*(f"_r_{c}" for c in (*dims, "_gid")))
+        out = out.join(right, on, "left").drop(*(f"_r_{c}" for c in (*dims, "_gid")))
     names = [*dims, *(["grouping_id"] if grouping else []), *(a.output for a in aggregates)]
     return out.withColumnRenamed("_gid", "grouping_id").select(*names)
 

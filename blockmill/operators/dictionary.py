@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..types import SchemaError
-from .rows import need
+from .rows import need, number
 
 SCHEMA = "colname string, colvalue string, code int"
 
@@ -24,18 +24,23 @@ def _values(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(pairs.alias("p")).select("p.*").where("colvalue IS NOT NULL").distinct()
 
 
+def _numbered(values: DataFrame) -> DataFrame:
+    """(colname, colvalue, _k): 1, 2, … in the order of each column's values. No task holds all values of a column."""
+    placed = number(values, ["colname", "colvalue"], "_at")
+    before = placed.groupBy("colname").agg((F.min("_at") - 1).alias("_before"))
+    return placed.join(F.broadcast(before), "colname").select("colname", "colvalue", (F.col("_at") - F.col("_before")).cast("int").alias("_k"))
+
+
 def build(df: DataFrame, columns: list[str]) -> DataFrame:
     """Codes in order of the values."""
-    by = Window.partitionBy("colname").orderBy("colvalue")
-    return _values(df, columns).withColumn("code", F.row_number().over(by))
+    return _numbered(_values(df, columns)).withColumnRenamed("_k", "code")
 
 
 def refresh(df: DataFrame, columns: list[str], old: DataFrame) -> DataFrame:
     """Old codes stay; new values get codes after the largest of their column."""
     new = _values(df, columns).join(old, ["colname", "colvalue"], "left_anti")
     last = old.groupBy("colname").agg(F.max("code").alias("_last"))
-    by = Window.partitionBy("colname").orderBy("colvalue")
-    added = new.withColumn("_k", F.row_number().over(by)).join(last, "colname", "left").select("colname", "colvalue", (F.coalesce("_last", F.lit(0)) + F.col("_k")).alias("code"))
+    added = _numbered(new).join(F.broadcast(last), "colname", "left").select("colname", "colvalue", (F.coalesce("_last", F.lit(0)) + F.col("_k")).alias("code"))
     return old.select("colname", "colvalue", "code").unionByName(added)
 
 

@@ -18,7 +18,8 @@ def _how(kind: str) -> str:
     return HOW[kind]
 
 
-def _named(left: DataFrame, lname: str, lkeys: list[str], right: DataFrame, rname: str, rkeys: list[str], kind: str, hint: str | None) -> DataFrame:
+def _named(left: DataFrame, lname: str, lkeys: list[str], right: DataFrame, rname: str, rkeys: list[str], kind: str, hint: str | None, whole: bool = False) -> DataFrame:
+    """whole: the keys are joined as one packed value, as blocks are dealt by."""
     need(left, lkeys)
     need(right, rkeys)
     if len(lkeys) != len(rkeys):
@@ -28,7 +29,11 @@ def _named(left: DataFrame, lname: str, lkeys: list[str], right: DataFrame, rnam
             raise SchemaError(f"types of {a} and {b} don't meet")
     left = left.select(*(F.col(f"`{c}`").alias(f"{lname}___{c}") for c in left.columns))
     right = right.select(*(F.col(f"`{c}`").alias(f"{rname}___{c}") for c in right.columns))
-    on = [left[f"{lname}___{a}"].eqNullSafe(right[f"{rname}___{b}"]) for a, b in zip(lkeys, rkeys, strict=True)]
+    if whole:
+        one, two = (F.struct(*(side[f"{name}___{k}"].alias(f"k{i}") for i, k in enumerate(keys))) for side, name, keys in ((left, lname, lkeys), (right, rname, rkeys)))
+        on = [one == two]
+    else:
+        on = [left[f"{lname}___{a}"].eqNullSafe(right[f"{rname}___{b}"]) for a, b in zip(lkeys, rkeys, strict=True)]
     return left.join(right.hint(hint) if hint else right, on, _how(kind))
 
 
@@ -50,9 +55,9 @@ def _threshold(df: DataFrame) -> int:
     return int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)) if not text.lstrip("-").isdigit() else int(text)
 
 
-def merge_join(left: DataFrame, lname: str, lkeys: list[str], right: DataFrame, rname: str, rkeys: list[str], kind: str = "") -> DataFrame:
+def merge_join(left: DataFrame, lname: str, lkeys: list[str], right: DataFrame, rname: str, rkeys: list[str], kind: str = "", whole: bool = False) -> DataFrame:
     """A sort-merge join; columns are left___x and right___x."""
-    return _named(left, lname, lkeys, right, rname, rkeys, kind, "merge")
+    return _named(left, lname, lkeys, right, rname, rkeys, kind, "merge", whole)
 
 
 def reduce_join(fact: DataFrame, dimension: DataFrame, keys: list[str], kind: str = "", unique: bool = True) -> DataFrame:

@@ -198,7 +198,7 @@ class Compiler:
         if op.kind == "DISTINCT":
             return Relation(rows.distinct(df), df.columns, df.columns)
         if op.kind == "BLOCKGEN":
-            buckets = job.reducers or 8
+            buckets = job.reducers or blocks.buckets_for(df)
             if a["by"] == "INDEX":
                 index = paths.resolve(self.spark, a["value"])
                 m = blocks.meta(self.spark, index)

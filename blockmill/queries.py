@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from datetime import date
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -478,36 +478,51 @@ def dict_refresh(spark, d):
 _ORDERS = "SELECT o_orderkey, o_custkey FROM orders"
 
 
-@query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers, true AS whole FROM orders")
+def _blocks(spark, d, kind: str, n: int) -> DataFrame:
+    """What blocks hold: all rows and keys, each key in one block, blocks of n or more (but the last of a bucket) that end with the key that fills them, in order."""
+    df = blocks.blockgen(gen(table(spark, d, "orders"), "o_orderkey", "o_custkey"), kind, n, ["o_custkey"], ["o_custkey", "o_orderkey"])
+    cost = {"ROW": F.count("*"), "SIZE": F.count("*") * 16, "PARTITION_KEY": F.lit(1)}[kind]
+    keys = df.groupBy(blocks.BLOCK, "o_custkey").agg(F.count("*").alias("rows"), cost.alias("cost"))
+    each = keys.groupBy(blocks.BLOCK).agg(F.sum("rows").alias("rows"), F.count("*").alias("keys"), F.sum("cost").alias("cost"), F.max_by("cost", "o_custkey").alias("last"), F.min("o_custkey").alias("lo"), F.max("o_custkey").alias("hi"))
+    by = Window.partitionBy(F.shiftright(blocks.BLOCK, 32)).orderBy(blocks.BLOCK)
+    each = each.withColumns({"next": F.lead("lo").over(by), "less": F.col("cost") - F.col("last")})
+    count = lambda c: F.count(F.when(F.expr(c), 1))
+    return each.agg(F.sum("rows").alias("n"), F.sum("keys").alias("customers"), count(f"cost < {n} AND next IS NOT NULL").alias("too_small"), count(f"less >= {n}").alias("too_large"), count("next <= hi").alias("out_of_order"), (F.count("*") > 1).alias("several"))
+
+
+_BLOCKS = "SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers, CAST(0 AS BIGINT) AS too_small, CAST(0 AS BIGINT) AS too_large, CAST(0 AS BIGINT) AS out_of_order, true AS several FROM orders"
+
+
+@query(_BLOCKS)
 def blockgen_by_row(spark, d):
-    df = blocks.blockgen(gen(table(spark, d, "orders"), "o_orderkey", "o_custkey"), "ROW", 100, ["o_custkey"], ["o_custkey", "o_orderkey"])
-    keys = df.groupBy("o_custkey").agg(F.countDistinct(blocks.BLOCK).alias("b"), F.count("*").alias("n"))
-    return keys.agg(F.sum("n").alias("n"), F.count("*").alias("customers"), (F.max("b") == 1).alias("whole"))
+    return _blocks(spark, d, "ROW", 100)
 
 
-@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL")
+@query(_BLOCKS)
 def blockgen_by_key(spark, d):
-    df = blocks.blockgen(gen(table(spark, d, "orders"), "o_orderkey", "o_custkey"), "PARTITION_KEY", 20, ["o_custkey"])
-    return df.groupBy(blocks.BLOCK, "o_custkey").agg(F.count("*").alias("n")).drop(blocks.BLOCK)
+    return _blocks(spark, d, "PARTITION_KEY", 20)
 
 
-@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL")
+@query(_BLOCKS)
 def blockgen_by_size(spark, d):
-    df = blocks.blockgen(gen(table(spark, d, "orders"), "o_orderkey", "o_custkey"), "SIZE", 4096, ["o_custkey"])
-    return df.groupBy(blocks.BLOCK, "o_custkey").agg(F.count("*").alias("n")).drop(blocks.BLOCK)
+    return _blocks(spark, d, "SIZE", 4096)
 
 
 @query("SELECT o_orderkey AS f___o_orderkey, c_custkey AS d___c_custkey, c_name AS d___c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 def blockgen_by_index_join(spark, d):
-    fact = blocks.blockgen(gen(table(spark, d, "orders"), "o_orderkey", "o_custkey"), "ROW", 100, ["o_custkey"])
-    dim = blocks.blockgen_by_index(gen(table(spark, d, "customer"), "c_custkey", "c_name"), blocks.boundaries(fact, ["o_custkey"]), ["c_custkey"])
+    orders = gen(table(spark, d, "orders"), "o_orderkey", "o_custkey")
+    n = blocks.buckets_for(orders)
+    fact = blocks.blockgen(orders, "ROW", 100, ["o_custkey"], buckets=n)
+    dim = blocks.blockgen_by_index(gen(table(spark, d, "customer"), "c_custkey", "c_name"), blocks.boundaries(fact, ["o_custkey"]), ["c_custkey"], buckets=n)
     return blocks.matched_join(fact, "f", ["o_custkey"], dim, "d", ["c_custkey"]).select("f___o_orderkey", "d___c_custkey", "d___c_name")
 
 
 @query("SELECT * FROM (VALUES ('bucket', 0), ('key in two blocks', 0), ('key ranges overlap', 0), ('order', 0), ('block too small', 0)) t(\"check\", violations)")
 def validate_blocks(spark, d):
-    df = blocks.blockgen(gen(table(spark, d, "orders"), "o_orderkey", "o_custkey"), "ROW", 100, ["o_custkey"], ["o_custkey", "o_orderkey"])
-    return blocks.validate(df, ["o_custkey"], ["o_custkey", "o_orderkey"], kind="ROW", n=100).select("check", F.col("violations").cast("int").alias("violations"))
+    orders = gen(table(spark, d, "orders"), "o_orderkey", "o_custkey")
+    n = blocks.buckets_for(orders)
+    df = blocks.blockgen(orders, "ROW", 100, ["o_custkey"], ["o_custkey", "o_orderkey"], n)
+    return blocks.validate(df, ["o_custkey"], ["o_custkey", "o_orderkey"], n, kind="ROW", n=100).select("check", F.col("violations").cast("int").alias("violations"))
 
 
 # --- summary views --------------------------------------------------------------------------------------------------
