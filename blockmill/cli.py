@@ -2,7 +2,8 @@
 
     python -m blockmill.cli run script.bm -D day=20240101 -f values.properties -x "job name" --parallel 5
     python -m blockmill.cli parse script.bm          (the tree)
-    python -m blockmill.cli compile script.bm        (schemas of what jobs store)
+    python -m blockmill.cli compile script.bm        (schemas of what jobs store; writes nothing)
+    python -m blockmill.cli describe script.bm       (what jobs read and write, and their plans; writes nothing)
     python -m blockmill.cli blocks path [-d [-f TEXT]] [-e BLOCK] [-o OUT]
 """
 
@@ -14,7 +15,7 @@ import time
 from dataclasses import asdict
 
 from .operators import blocks
-from .plans.compiler import describe, run_script, substitute
+from .plans.compiler import describe, explain, run_script, substitute
 from .plans.parser import parse
 from .session import session
 from .sources.storage import storage
@@ -37,13 +38,14 @@ def values(args) -> dict[str, str]:
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="blockmill")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("run", "parse", "compile"):
+    for name in ("run", "parse", "compile", "describe"):
         s = sub.add_parser(name)
         s.add_argument("script")
         s.add_argument("-D", dest="define", action="append", help="name=value")
         s.add_argument("-f", dest="files", action="append", help="file of name=value lines")
         s.add_argument("-x", dest="only", help="run this job only")
         s.add_argument("--parallel", type=int, default=1, help="jobs at a time")
+        s.add_argument("--debug", action="store_true", help="print what jobs read, write and plan before they run")
         s.add_argument("--perf", action="store_true", help="print the seconds taken")
     b = sub.add_parser("blocks")
     b.add_argument("path")
@@ -76,6 +78,11 @@ def main(argv: list[str] | None = None) -> int:
         for name, schema in describe(spark, text, known):
             print(f"{name}: {schema}")
         return 0
+    if args.command == "describe" or args.debug:
+        for name, reads, writes, plan in explain(spark, text, known):
+            print(f"{name}\n  reads {', '.join(reads)}\n  writes {', '.join(writes)}\n{plan}")
+    if args.command == "describe":
+        return 0
     began = time.time()
     run_script(spark, text, known, parallel=args.parallel, only=args.only)
     if args.perf:

@@ -41,6 +41,8 @@ def column(a: Aggregate, schema: T.StructType, strict: bool = False) -> Column:
             raise SchemaError(f"no column {c}")
     x = F.col(f"`{a.columns[0]}`") if a.columns else None
     t = schema[a.columns[0]].dataType if a.columns else None
+    if isinstance(a.user, type):
+        raise SchemaError(f"{a.user.__name__} is an aggregate of cubes")
     if a.user is not None:
         return a.user(*(F.col(f"`{c}`") for c in a.columns))
     if kind == "COUNT":

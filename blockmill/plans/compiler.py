@@ -6,6 +6,7 @@ import logging
 import os
 import re
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import date, datetime
@@ -18,14 +19,19 @@ from ..functions.expressions import compile_expression
 from ..functions.registry import Registry, load
 from ..operators import aggregates as agg
 from ..operators import blocks, cube, dictionary, joins, rows, window
+from ..scratch import scope, shared_dir
 from ..sources import paths
 from ..sources.storage import storage
 from ..types import SchemaError, show_schema, type_of
+from . import hooks
 from .jobs import levels
 from .parser import Job, Op, Program, ScriptError, parse
 from .summary import SummaryView
 
 log = logging.getLogger(__name__)
+#: Settings that are the engine's own; others are the session's while the job runs.
+OWN_SETTINGS = ("overwrite",)
+TEMP = "BLOCKMILL_TEMP"
 
 
 @dataclass
@@ -60,10 +66,14 @@ def substitute(text: str, values: dict[str, Any]) -> str:
 
 
 class Compiler:
-    def __init__(self, spark: SparkSession, registry: Registry | None = None, strict: bool = False):
-        self.spark, self.registry, self.strict = spark, registry or Registry(), strict
+    """dry: nothing is written, checked or held; relations have their schemas only."""
+
+    def __init__(self, spark: SparkSession, registry: Registry | None = None, strict: bool = False, dry: bool = False):
+        self.spark, self.registry, self.strict, self.dry = spark, registry or Registry(), strict, dry
         self.dictionaries: dict[str, DataFrame] = {}
         self.passing: list[str] = []  # files between a job's steps
+        self.actions: list[Callable[[], None]] = []  # what a job does besides its STORE: TEE, VALIDATE
+        self.held: list[DataFrame] = []  # in memory until the job's end
 
     # --- programs ---
 
@@ -75,7 +85,7 @@ class Compiler:
             jobs = {n: j for n, j in jobs.items() if j.name == only or n.startswith(f"{only}:")}
             if not jobs:
                 raise ScriptError(f"no job {only}")
-        for level in levels({n: (_inputs(j), {j.store.path}) for n, j in jobs.items()}):
+        for level in levels({n: (_inputs(j), _outputs(j)) for n, j in jobs.items()}):
             if parallel > 1 and len(level) > 1:
                 with ThreadPoolExecutor(parallel) as pool:
                     list(pool.map(lambda n: self.run_job(jobs[n], program.settings), level))
@@ -115,7 +125,35 @@ class Compiler:
             log.warning("%s %s: %s", task, " ".join(where), e)
 
     def run_job(self, job: Job, settings: dict[str, Any] | None = None) -> None:
+        """Runs a job in a session of its own, with the program's settings and then the job's."""
         settings = {**(settings or {}), **job.settings}
+        one = Compiler(self.with_settings(settings), self.registry, self.strict)
+        one.dictionaries = self.dictionaries
+        with scope():
+            try:
+                hooks.run(one.spark, job.before)
+                one.store(job, settings)
+                hooks.run(one.spark, job.after)
+            finally:
+                for df in one.held:
+                    df.unpersist()
+                for path in one.passing:
+                    paths.remove(one.spark, path)
+
+    def with_settings(self, settings: dict[str, Any]) -> SparkSession:
+        """The session with SET's keys, but for the engine's own: Spark's, and others, which readers and writers get as Hadoop's."""
+        others = {k: v for k, v in settings.items() if k not in OWN_SETTINGS}
+        if not others:
+            return self.spark
+        session = SparkSession(self.spark.sparkContext, self.spark._jsparkSession.cloneSession())
+        for k, v in others.items():
+            try:
+                session.conf.set(k, str(v).lower() if isinstance(v, bool) else str(v))
+            except Exception as e:
+                raise SchemaError(f"SET {k}: {str(e).splitlines()[0]}") from e
+        return session
+
+    def store(self, job: Job, settings: dict[str, Any]) -> None:
         relation = self.compile_job(job)
         s = job.store
         overwrite = str(s.params.get("overwrite", settings.get("overwrite", "false"))).lower() == "true"
@@ -126,9 +164,9 @@ class Compiler:
             raise SchemaError(f"job {job.name}: only relations that passed BLOCKGEN can be stored as blocks")
         if not overwrite and paths.exists(self.spark, s.path):
             raise SchemaError(f"job {job.name}: {s.path} is there already; SET overwrite true")
+        for act in self.actions:
+            act()
         storage(s.format, self.registry.storages).write(relation.df, s.path, params, overwrite)
-        while self.passing:
-            paths.remove(self.spark, self.passing.pop())
 
     # --- jobs ---
 
@@ -215,6 +253,8 @@ class Compiler:
             if paths.exists(self.spark, path):  # codes that are there stay
                 old = storage(job.store.format, self.registry.storages).read(self.spark, [path], dict(job.store.params))
                 kept = dictionary.refresh(df, a["columns"], old.selectExpr("colname", "colvalue", "CAST(code AS INT) AS code"))
+                if self.dry:
+                    return Relation(kept)
                 held = f"{path}.refresh-{uuid.uuid4().hex[:8]}"  # the old codes are read while they are written over
                 kept.write.parquet(held)
                 self.passing.append(held)
@@ -293,11 +333,11 @@ class Compiler:
         if kind == "PIVOT":
             if "rows" in a:
                 return Relation(rows.pivot_by_row(df, a["rows"], r.sort or df.columns))
-            return Relation(df.cache() if a["memory"] else df, r.partition, r.sort, a.get("keys", r.pivot), r.blocks)
+            return Relation(self.hold(df) if a["memory"] else df, r.partition, r.sort, a.get("keys", r.pivot), r.blocks)
         if kind == "TEE":
             made = [(n, compile_expression(e, df, self.registry).column) for n, e in a["columns"]] if a["columns"] else None
             predicate = compile_expression(a["predicate"], df, self.registry).column if a["predicate"] is not None else None
-            write = lambda d: storage(a["format"], self.registry.storages).write(d, a["path"], a["params"], True)
+            write = lambda d: self.actions.append(lambda: storage(a["format"], self.registry.storages).write(d, a["path"], a["params"], True))
             return r.over(rows.tee(df, write, made, predicate, a["split"]))
         if kind in ("ENCODE", "DECODE"):
             d = self.dictionaries[a["dictionary"]] if a.get("dictionary") in self.dictionaries else None
@@ -325,21 +365,26 @@ class Compiler:
             name = lambda keys: [f"{op.inputs[0]}___{k}" for k in keys]
             return Relation(out, name(left.partition), name(left.sort))
         if kind == "LOAD_CACHED":
-            return Relation(F.broadcast(storage(a["format"], self.registry.storages).read(self.spark, [paths.resolve(self.spark, a["path"])], a["params"])))
+            # Spark sends it to every task where its size is below the threshold
+            return Relation(storage(a["format"], self.registry.storages).read(self.spark, [paths.resolve(self.spark, a["path"])], a["params"]))
         if kind == "LOAD_BLOCK":
             if not r.blocks:
                 raise SchemaError(f"{op.inputs[0]} has no blocks to match")
             path = paths.resolve(self.spark, a["path"])
             m = blocks.meta(self.spark, path)
             out = blocks.load_matching(self.spark, path, df)
-            return Relation(out.cache() if a["memory"] else out, m.partition_keys, m.sort_keys, blocks={"keys": m.partition_keys, "order": m.sort_keys, "buckets": m.buckets, "id": m.blockgen_id})
+            return Relation(self.hold(out) if a["memory"] else out, m.partition_keys, m.sort_keys, blocks={"keys": m.partition_keys, "order": m.sort_keys, "buckets": m.buckets, "id": m.blockgen_id})
         if kind == "VALIDATE":
             if blocks.BLOCK not in df.columns:
                 raise SchemaError(f"{op.inputs[0]} has no blocks")
             buckets = r.blocks["buckets"] if r.blocks else 8
-            found = blocks.validate(df, a["partition"], a["sort"], buckets, a["by"] if a["by"] in ("ROW", "PARTITION_KEY") else None, a["value"] if isinstance(a["value"], int) else 0).where("violations > 0").collect()
-            if found:
-                raise SchemaError("; ".join(f"{x.check}: {x.violations}" for x in found))
+            found = blocks.validate(df, a["partition"], a["sort"], buckets, a["by"] if a["by"] in ("ROW", "PARTITION_KEY") else None, a["value"] if isinstance(a["value"], int) else 0).where("violations > 0")
+
+            def check() -> None:
+                if wrong := found.collect():
+                    raise SchemaError("; ".join(f"{x.check}: {x.violations}" for x in wrong))
+
+            self.actions.append(check)
             return r
         if kind == "TOP":
             return r.over(window.top(df, a["group"], a["order"], a["n"]))
@@ -347,9 +392,17 @@ class Compiler:
             return r.over(window.rank(df, a["name"], a["group"], a["order"] or r.sort))
         if kind == "USER":
             f = self.registry.operators.get(a["uri"]) or load(a["uri"])
+            for path in getattr(f, "cached_files", ()):  # workers find them by SparkFiles
+                self.spark.sparkContext.addFile(path)
             return Relation(f(*(i.df for i in inputs), a["params"]))
         raise ScriptError(f"no operator {kind}")
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        if self.dry:
+            return df
+        self.held.append(df.cache())
+        return self.held[-1]
+
     def summary(self, op: Op, r: Relation) -> Relation:
         """GROUP … AGGREGATES COUNT_DISTINCT(member) kept as a view below the summary path, refreshed by the days that are new."""
         a = op.args
@@ -358,34 +411,44 @@ class Compiler:
             raise SchemaError("a summary view keeps one COUNT_DISTINCT")
         day = a["summary"]["time"][0][1].rpartition(".")[2]
         df = r.df.withColumn("_day", F.coalesce(F.try_to_date(F.col(day).cast("string"), "yyyyMMdd"), F.try_to_date(F.substring(F.col(day).cast("string"), 1, 10), "yyyy-MM-dd")))
+        if self.dry:
+            return Relation(agg.group(df, a["by"], [self.aggregate(x) for x in a["aggregates"]]), sort=a["by"])
         span = df.agg(F.min("_day").alias("a"), F.max("_day").alias("b")).first()
         root = a["summary"]["path"]
         if span.a is None:
             return Relation(agg.group(df, a["by"], [self.aggregate(x) for x in a["aggregates"]]))
-        if paths.exists(self.spark, f"{root}/_view.txt"):
-            horizon, refreshed, at = blocks.read_text(self.spark, f"{root}/_view.txt").split()
-            old = SummaryView(tuple(a["by"]), columns[0], "_day", date.fromisoformat(horizon), date.fromisoformat(refreshed), self.spark.read.parquet(f"{root}/{at}"))
+        facts = hooks.read(self.spark, f"{root}/_view.meta")
+        if facts:
+            old = SummaryView(tuple(a["by"]), columns[0], "_day", date.fromisoformat(facts["horizon"]), date.fromisoformat(facts["refreshed"]), self.spark.read.parquet(f"{root}/{facts['table']}"))
             view = old.refresh(df, max(span.a, old.horizon), max(span.b, old.refreshed))
         else:
             view = SummaryView.create(df, a["by"], columns[0], "_day", span.a, span.b)
         at = f"view-{datetime.now():%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
         view.table.write.parquet(f"{root}/{at}")  # beside the old one, which it reads
-        blocks.write_text(self.spark, f"{root}/_view.txt", f"{view.horizon} {view.refreshed} {at}")
+        hooks.write(self.spark, f"{root}/_view.meta", {"horizon": view.horizon, "refreshed": view.refreshed, "table": at})
         stored = SummaryView(view.dims, view.member, view.day, view.horizon, view.refreshed, self.spark.read.parquet(f"{root}/{at}"))
         return Relation(stored.counts(name=name or f"COUNT_DISTINCT___{columns[0]}"), sort=a["by"])
 
 
 def _dictionary(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        df = spark.read.parquet(path)
-    except Exception:
-        df = storage("TEXT").read(spark, [path], {"schema": "STRING colname, STRING colvalue, INT code"})
+    df = spark.read.parquet(path) if paths.is_parquet(spark, path) else storage("TEXT").read(spark, [path], {"schema": "STRING colname, STRING colvalue, INT code"})
     return df.selectExpr("colname", "colvalue", "CAST(code AS INT) AS code")
 
 
+def _every(ops: list[Op]) -> list[Op]:
+    return [x for o in ops for x in ([y for one in o.args["passes"] for y in _every(one)] if o.kind == "MULTIPASS" else [o])]
+
+
+def _outputs(job: Job) -> set[str]:
+    """What a job writes: its STORE, and what its TEEs and summary views keep."""
+    ops = _every([o for _, one in job.maps for o in one] + job.reduce)
+    tees = {o.args["path"] for o in ops if o.kind == "TEE"}
+    return {job.store.path, *tees, *(o.args["summary"]["path"] for o in ops if o.kind == "GROUP" and "summary" in o.args)}
+
+
 def _inputs(job: Job) -> set[str]:
     out = {p[0] if isinstance(p, tuple) else p for load_, _ in job.maps for p in load_.paths}
-    ops = [o for _, one in job.maps for o in one] + job.reduce + ([job.shuffle] if job.shuffle else [])
+    ops = _every([o for _, one in job.maps for o in one] + job.reduce) + ([job.shuffle] if job.shuffle else [])
     for o in ops:
         if o.kind in ("LOAD_CACHED", "LOAD_BLOCK", "ENCODE", "DECODE") and "path" in o.args:
             out.add(o.args["path"])
@@ -395,15 +458,33 @@ def _inputs(job: Job) -> set[str]:
 
 
 def run_script(spark: SparkSession, text: str, values: dict[str, Any] | None = None, registry: Registry | None = None, parallel: int = 1, only: str | None = None) -> None:
-    """Runs a script's text with $names by values, then by the environment."""
+    """Runs a script's text with $names by values, then by the environment. $BLOCKMILL_TEMP is a folder that goes at the end."""
     names = {m[1] for m in re.finditer(r"\$\{?([A-Za-z_]\w*)", text)}
     known = {**{k: v for k, v in os.environ.items() if k in names}, **(values or {})}
-    Compiler(spark, registry).run(parse(substitute(text, known)), parallel, only)
+    temporary = f"{shared_dir(spark)}/temp-{uuid.uuid4().hex}" if TEMP in names and TEMP not in known else None
+    if temporary:
+        known[TEMP] = temporary
+    try:
+        Compiler(spark, registry).run(parse(substitute(text, known)), parallel, only)
+    finally:
+        if temporary:
+            paths.remove(spark, temporary)
+
+
+def describe(spark: SparkSession, text: str, values: dict[str, Any] | None = None, registry: Registry | None = None) -> list[tuple[str, str]]:
+    """(job, schema of what it stores), without storing, holding or checking anything."""
+    known = {TEMP: f"{shared_dir(spark)}/temp", **(values or {})}
+    program = parse(substitute(text, known))
+    c = Compiler(spark, registry, dry=True)
+    c.prepare(program)
+    with scope(dry=True):
+        return [(j.name, show_schema(c.compile_job(j).df.schema)) for j in program.jobs]
 
 
-def describe(spark: SparkSession, text: str, values: dict[str, Any] | None = None) -> list[tuple[str, str]]:
-    """(job, schema of what it stores), without storing anything."""
-    program = parse(substitute(text, values or {}))
-    c = Compiler(spark)
+def explain(spark: SparkSession, text: str, values: dict[str, Any] | None = None) -> list[tuple[str, list[str], list[str], str]]:
+    """(job, what it reads, what it writes, its plan as Spark sees it before it runs); nothing is stored."""
+    program = parse(substitute(text, {TEMP: f"{shared_dir(spark)}/temp", **(values or {})}))
+    c = Compiler(spark, dry=True)
     c.prepare(program)
-    return [(j.name, show_schema(c.compile_job(j).df.schema)) for j in program.jobs]
+    with scope(dry=True):
+        return [(j.name, sorted(_inputs(j)), sorted(_outputs(j)), c.compile_job(j).df._jdf.queryExecution().simpleString()) for j in program.jobs]

@@ -5,12 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .sources.paths import remove
 
 _LIVE: list[Scratch] = []
+_SCOPE: ContextVar[tuple[list[Scratch], bool] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,9 +41,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         _LIVE.append(self)
+        if (scope_ := _SCOPE.get()) is not None:
+            scope_[0].append(self)
 
     def write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         """The table as it is read back. by: columns whose values are folders, so that a filter on them reads its folders alone."""
+        if (scope_ := _SCOPE.get()) is not None and scope_[1]:
+            return self.spark.createDataFrame([], df.schema)
         path = f"{self.root}/{name}"
         out = df.write.mode("overwrite").option("compression", "zstd")
         (out.partitionBy(*by) if by else out).parquet(path)
@@ -55,6 +63,19 @@ class Scratch:
             remove(self.spark, self.root)
 
 
+@contextmanager
+def scope(dry: bool = False) -> Iterator[None]:
+    """Tables that are made inside go at its end. dry: none is written, and all are empty, for what asks for schemas alone."""
+    made: list[Scratch] = []
+    token = _SCOPE.set((made, dry))
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for s in made:
+            s.end()
+
+
 def release() -> None:
     """Removes all tables between steps. DataFrames that read them are of no use afterwards: call it when results are stored."""
     while _LIVE:

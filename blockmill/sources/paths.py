@@ -27,6 +27,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(where))
 
 
+def is_parquet(spark: SparkSession, path: str) -> bool:
+    """Whether the file, or the first of the folder that holds data, begins as Parquet files do."""
+    where, fs = _at(spark, path)
+    files = [where] if fs.getFileStatus(where).isFile() else sorted((s.getPath() for s in fs.listStatus(where) if s.isFile() and not s.getPath().getName().startswith(("_", "."))), key=str)
+    if not files:
+        return False
+    stream = fs.open(files[0])
+    try:
+        return [stream.read() for _ in range(4)] == list(b"PAR1")
+    finally:
+        stream.close()
+
+
 def resolve(spark: SparkSession, path: str) -> str:
     """#LATEST stands for the lexically greatest name at its place."""
     while LATEST in path:
