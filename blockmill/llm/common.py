@@ -125,7 +125,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     step = 0
     while True:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written, so that the join with it can split the links of a node that has many
+        least = scratch.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-least-{step}")
         large = scratch.write(both.where("b > a").join(least, "a").selectExpr("b AS a", "m AS b"), f"{name}-large-{step}")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").selectExpr("b AS a", "m AS b").where("a <> b").union(down.selectExpr("a", "m AS b")).distinct()
@@ -133,7 +134,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         # done when every node has one link, to a node that has none
         ends = new.selectExpr("a AS node", "1 AS up", "0 AS down").union(new.selectExpr("b AS node", "0 AS up", "1 AS down"))
         unsettled = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").agg(F.count("*")).first()[0]
-        scratch.drop(f"{name}-large-{step}", *([f"{name}-{step - 1}"] if step else []))
+        scratch.drop(f"{name}-least-{step}", f"{name}-large-{step}", *([f"{name}-{step - 1}"] if step else []))
         if not unsettled:
             return new.selectExpr("a AS node", "b AS label").union(new.selectExpr("b AS node", "b AS label").distinct())
         now, step = new, step + 1
