@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import date
 
 import pandas as pd
@@ -344,26 +344,6 @@ def user_function(spark, d):
     return rows.generate(df, ("o_orderkey", F.col("o_orderkey")), ("doubled", expression("twice(o_totalprice) + 1", df, r)), ("letters", expression("letters(o_orderpriority)", df, r)))
 
 
-@query("SELECT n_nationkey, n_name, k AS part FROM nation, (SELECT unnest(['a', 'b']) AS k) WHERE n_regionkey = 1")
-def user_tuple_operator(spark, d):
-    def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for part in ("a", "b"):
-                yield b.assign(part=part)
-
-    return where(table(spark, d, "nation"), "n_regionkey == 1").select("n_nationkey", "n_name").mapInPandas(both, "n_nationkey int, n_name string, part string")
-
-
-@query("SELECT event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL")
-def user_block_operator(spark, d):
-    def fold(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"event_type": [b["event_type"].iloc[0]], "n": [len(b)], "most": [b["value"].max()]})
-
-    # the operator's contract is a whole block at once: blocks here are small groups, folded again afterwards
-    parts = table(spark, d, "events").select("event_type", "value", F.pmod("user_id", F.lit(16)).alias("block")).groupBy("event_type", "block").applyInPandas(fold, "event_type string, n long, most double")
-    return group(parts, ["event_type"], [A("SUM", ("n",), "n"), A("MAX", ("most",), "most")])
-
-
 # --- rank, top, rows ------------------------------------------------------------------------------------------------
 
 
@@ -584,3 +564,6 @@ def script_cube(spark, d):
           STORE x INTO "unused" USING PARQUET();
         END"""
     return Compiler(spark).compile_job(parse(text).jobs[0]).df
+
+
+from . import script_queries  # noqa: E402, F401  (adds its own)
