@@ -11,6 +11,7 @@ import brute  # noqa: E402
 
 from blockmill.llm import jaccard_join, mixing  # noqa: E402
 from blockmill.llm.common import Scratch, components, roots  # noqa: E402
+from blockmill.llm.queries import BLOCK_CHARS  # noqa: E402
 
 DATA = "/root/testdata/sf0.01"
 
@@ -322,7 +323,9 @@ def test_pipeline_against_its_parts(spark, tmp_path):
                 assert (after[i].text != r.text) == bool(brute.pii(r.text)) and after[i].n_chars == len(after[i].text)
                 assert not brute.pii(after[i].text)
         else:
-            assert not gone and all(r.slot >= 0 for r in after.values())
+            assert not gone and all(r.slot >= 0 and r.text == before[i].text and r.lang == before[i].lang for i, r in after.items())
+            by = sorted((r.source, r.block * BLOCK_CHARS + r["at"], r.n_chars) for r in after.values())
+            assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(by, by[1:], strict=False))  # texts lie end to end
         if not name.startswith("3"):
             assert docs.columns == names
         before = after
@@ -340,3 +343,41 @@ def test_near_duplicates_of_repeated_ids(spark):
     twin = [t for i, t in got if i == 1 and t != a]
     assert len(twin) == 1 and twin[0] in (b, f"{b} x")  # one of two near copies that share an id
     assert sorted(got, key=str) == sorted([(1, a), (1, twin[0]), (4, c), (5, d), (7, e), (8, ""), (8, ""), (None, a), (None, a)], key=str)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing columns, and no rows at all."""
+    import corpus_pipeline as pipeline
+
+    full = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 120")
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
+    long = " ".join(f"word{k % 977}" for k in range(40_000))
+    odd = [(None, None, None, None, None), (None, "mail a@b.cc now", None, "s", 3), (5000, "", "en", None, 0), (5001, " \n", "en", "s", 2), (5002, long, "en", "s", None), (5002, long, "en", "s", None), (5003, f"{long} tail", "en", "t", 1), (5004, item, "en", "s", 9), (5005, "unlike any text", "en", "s", 9), (5005, "of the same id", "en", "s", 9)]
+    kinds = {f.name: f.dataType for f in full.schema}
+    rows = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").select(*(F.col(c).cast(kinds[c]).alias(c) for c in full.columns))
+    clash = {c: F.lit(k) for k, c in enumerate(("row", "label", "token", "slot", "pii", "_text", "score", "y", "part", "before", "carried"))}
+    docs = full.unionByName(rows).withColumns(clash)
+    docs.write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in")
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+        out = stage(spark, docs, DATA)
+        out.write.parquet(f"{tmp_path}/{k}")
+        out = spark.read.parquet(f"{tmp_path}/{k}")
+        texts = [(r.doc_id, r.text) for r in out.collect()]
+        if name.startswith("7"):
+            texts = [(r.doc_id, r.text) for r in docs.collect()]  # the next stages see all odd rows, whatever their scores
+            assert out.columns == docs.columns
+            continue
+        if name.startswith("2"):
+            assert sum(i == 5002 for i, _ in texts) == 1 and not any(i == 5003 for i, _ in texts) and sum(i == 5005 for i, _ in texts) == 2 and sum(i is None for i, _ in texts) == 2
+        if name.startswith("9"):
+            assert not any(i == 5004 for i, _ in texts) and sum(i is None for i, _ in texts) == 2
+        if name.startswith("6"):
+            assert {t for i, t in texts if i is None} == {None, "mail [EMAIL] now"} and (5000, "") in texts
+        if not name.startswith("3"):
+            assert out.columns == docs.columns and {r.carried for r in out.collect()} == {10}
+        else:
+            assert out.count() == docs.count() and {"text", "lang", "block", "at", "slot", "on_target", "token"} <= set(out.columns)
+            assert sorted(map(str, texts)) == sorted(map(str, ((r.doc_id, r.text) for r in docs.collect())))
+        docs = out
