@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from blockmill.llm import decontaminate, jaccard_join, mixing, pii, quality_mil
 from blockmill.llm.common import Scratch, table
 from blockmill.llm.queries import BLOCK_CHARS
+from blockmill.scratch import scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -93,7 +94,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{k}")
+        with scope():  # what a stage keeps on its way goes when its result is written
+            docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{k}")
         if k:
             scratch.drop(f"stage-{k - 1}")
     return docs
