@@ -6,6 +6,7 @@ from itertools import combinations, product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..types import SchemaError
 from .aggregates import Aggregate, by_column, column, exact, share
@@ -14,6 +15,7 @@ from .percentiles import percentiles
 from .rows import need
 
 Sets = list[tuple[str, ...]]
+DIMENSIONS = (T.BooleanType, T.IntegerType, T.LongType, T.StringType)
 
 
 def all_sets(dims: list[str]) -> Sets:
@@ -55,6 +57,9 @@ def cube(df: DataFrame, dims: list[str], aggregates: list[Aggregate], sets: Sets
     """
     inner = list(inner)
     need(df, [*dims, *inner])
+    for d in dims:
+        if not isinstance(df.schema[d].dataType, DIMENSIONS):
+            raise SchemaError(f"{d} is {df.schema[d].dataType.simpleString()}: dimensions are BOOLEAN, INT, LONG or STRING")
     sets = _checked(list(dims), sets)
     if nulls == "raise":
         for d in dims:

@@ -166,6 +166,20 @@ def purge(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return df.join(ids.select(F.col(ids.columns[0]).alias(column)).distinct(), column, "left_anti").select(*df.columns)
 
 
+def force_sorted_order(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df, once its rows are known to come in order of the columns (nulls first) within each partition; else it raises.
+
+    The check is a job of its own over the order columns alone.
+    """
+    need(df, columns)
+    now = F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)))
+    seen = df.select(now.alias("now"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
+    wrong = seen.withColumn("last", F.lag("now").over(Window.partitionBy("part").orderBy("row"))).where("last > now").count()
+    if wrong:
+        raise SchemaError(f"{wrong} rows aren't in the order of {', '.join(columns)}")
+    return df
+
+
 def least_entry(df: DataFrame, column: str, field: int, name: str) -> DataFrame:
     """The element of a bag of tuples whose field (0, 1, …) is least; nulls come last."""
     fields = df.schema[column].dataType.elementType.fields

@@ -400,6 +400,11 @@ def pivot_by_row(spark, d):
     return rows.pivot_by_row(table(spark, d, "documents"), 1000, ["n_chars", "doc_id"], "part")
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def force_sorted_order(spark, d):
+    return rows.force_sorted_order(rows.sort(gen(table(spark, d, "orders"), "o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]), ["o_totalprice", "o_orderkey"])
+
+
 @query("SELECT o_custkey, min(o_orderkey) AS orderkey, arg_min(o_totalprice, o_orderkey) AS price FROM orders GROUP BY ALL")
 def least_entry(spark, d):
     bags = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_totalprice", "o_orderkey")).alias("bag"))

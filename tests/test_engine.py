@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockmill import cli, scratch
-from blockmill.operators import blocks, cube
+from blockmill.operators import blocks, cube, rows
 from blockmill.operators.aggregates import Aggregate as A
 from blockmill.operators.aggregates import group
 from blockmill.plans import hooks
@@ -234,3 +234,18 @@ def test_temporary_folder_goes(spark, tmp_path):
     assert spark.read.parquet(f"{t}/out").count() == 9
     root = scratch.shared_dir(spark).removeprefix("file:")
     assert not [n for n in os.listdir(root) if n.startswith("temp-")] and Compiler(spark).held == []
+
+
+def test_sorted_order_is_forced(spark):
+    df = spark.createDataFrame([(2, "b"), (None, "a"), (1, "c")], "k int, v string").coalesce(1)
+    assert rows.force_sorted_order(rows.sort(df, ["k", "v"]), ["k", "v"]).count() == 3
+    with pytest.raises(SchemaError, match="1 rows aren't in the order of k"):
+        rows.force_sorted_order(df, ["k"])
+
+
+def test_dimensions_have_four_types(spark):
+    df = spark.sql("SELECT DATE'2024-01-01' AS d, 1.5D AS x, true AS b, 1 AS i, 2L AS l, 's' AS s")
+    assert cube.cube(df, ["b", "i", "l", "s"], [A("COUNT", (), "n")]).count() == 16
+    for bad in ("d", "x"):
+        with pytest.raises(SchemaError, match="dimensions are"):
+            cube.cube(df, [bad], [A("COUNT", (), "n")])
