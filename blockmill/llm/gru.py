@@ -51,13 +51,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def softmax(x: np.ndarray, target: np.ndarray, gradient: bool) -> np.ndarray:
     """Log-probability of each row's target; or, in place of the logits, the gradient of its negative. Logits are held below 60."""
     np.minimum(x, F32(60), out=x)
-    rows = np.arange(len(x))
+    at = np.arange(0, x.size, x.shape[1])
+    at += target
     if gradient:
         np.exp(x, out=x)
         x *= (1 / (x @ np.ones(x.shape[1], F32)))[:, None]
-        x[rows, target] -= 1
+        x.reshape(-1)[at] -= 1
         return x
-    picked = x[rows, target]
+    picked = x.reshape(-1).take(at)
     np.exp(x, out=x)
     return picked - np.log(x @ np.ones(x.shape[1], F32))
 
@@ -116,105 +117,144 @@ class Network:
 
     # --- forward ---
 
-    def _run(self, h: np.ndarray, before: np.ndarray, fresh: np.ndarray, active: np.ndarray, keep: bool) -> tuple[list, list]:
-        p, n = self.p, self.shape.hidden
-        out, tape = [], []
-        for t, a in enumerate(active.tolist()):
-            last = np.where(fresh[t, :a, None], F32(0), h[:a])
-            x = p["x"].take(before[t, :a], 0)
-            x += p["b"]
-            hu = last @ p["u"]
-            gates = sigmoid(x[:, : 2 * n] + hu[:, : 2 * n])
-            r, z = gates[:, :n], gates[:, n:]
-            new = r * hu[:, 2 * n :]
-            new += x[:, 2 * n :]
-            new = sigmoid(new + new)  # tanh(v) is 2 sigmoid(2 v) - 1
-            new *= 2
-            new -= 1
-            now = last - new
-            now *= z
-            now += new
-            h = now
-            out.append(now)
+    def _run(self, h: np.ndarray, before: np.ndarray, fresh: np.ndarray, active: list[int], keep: bool) -> tuple[np.ndarray, tuple | None]:
+        """States of a window's tokens, step after step in one array; and, to keep, what backpropagation needs, lying likewise."""
+        p, n, total = self.p, self.shape.hidden, sum(active)
+        x = p["x"].take(before, 0)
+        x += p["b"]
+        gates, new = np.ascontiguousarray(x[:, : 2 * n]), np.ascontiguousarray(x[:, 2 * n :])
+        out = np.empty((total, n), F32)
+        last = np.empty((total if keep else active[0], n), F32)
+        hn = np.empty((total, n), F32) if keep else None
+        at = 0
+        for t, a in enumerate(active):
+            was = last[at : at + a] if keep else last[:a]
+            np.copyto(was, h[:a])
+            if fresh[t, :a].any():
+                was[fresh[t, :a]] = 0
+            hu = was @ p["u"]
+            g, c = gates[at : at + a], new[at : at + a]
+            g += hu[:, : 2 * n]
+            sigmoid(g)
             if keep:
-                tape.append((last, hu[:, 2 * n :], r, z, new))
-        return out, tape
+                hn[at : at + a] = hu[:, 2 * n :]
+            candidate = hu[:, 2 * n :]
+            candidate *= g[:, :n]
+            c += candidate
+            c += c
+            sigmoid(c)  # tanh(v) is 2 sigmoid(2 v) - 1
+            c *= 2
+            c -= 1
+            h = np.subtract(was, c, out=out[at : at + a])
+            h *= g[:, n:]
+            h += c
+            at += a
+        return out, (last, hn, gates, new) if keep else None
 
     def windows(self, packed: Packed, ids: np.ndarray, start_id: int, keep: bool) -> Iterator[tuple]:
         """Per window: token numbers, states (steps joined), and what backpropagation needs."""
         h = np.zeros((packed.index.shape[1], self.shape.hidden), F32)
         for t in range(0, len(packed.index), WINDOW):
-            index, fresh, active = packed.index[t : t + WINDOW], packed.fresh[t : t + WINDOW], packed.active[t : t + WINDOW]
-            before = np.where(fresh, start_id, ids[np.maximum(index - 1, 0)])
+            index, fresh, active = packed.index[t : t + WINDOW], packed.fresh[t : t + WINDOW], packed.active[t : t + WINDOW].tolist()
+            joined = lambda x: np.concatenate([x[k, :a] for k, a in enumerate(active)])  # noqa: E731, B023
+            tokens = joined(index)
+            before = ids.take(np.maximum(tokens - 1, 0))
+            before[joined(fresh)] = start_id
             out, tape = self._run(h, before, fresh, active, keep)
-            h = out[-1]
-            yield np.concatenate([index[k, :a] for k, a in enumerate(active.tolist())]), np.concatenate(out), (before, fresh, active, tape)
+            h = out[-active[-1] :]
+            yield tokens, out, (before, fresh, active, tape)
 
     def score(self, packed: Packed, ids: np.ndarray, classes: np.ndarray, start_id: int) -> np.ndarray:
         """Natural log of the probability of each token's class and, for head words, of the word within it."""
         out = np.zeros(len(ids), np.float64)
         for index, h, _ in self.windows(packed, ids, start_id, False):
-            c = classes[index]
+            c = classes.take(index)
             x = h @ self.p["wc"]
             x += self.p["bc"]
-            out[index] = softmax(x, c, False)
-            for k, rows in self._by_class(c):
-                at = index[rows]
-                x = h[rows] @ self.p["ww"][k]
-                x += self.p["bw"][k]
-                out[at] += softmax(x, ids[at] - k * self.shape.per_class, False)
+            log = softmax(x, c, False)
+            order, cuts = self._by_class(c)
+            y, word = h.take(order, 0), ids.take(index.take(order)) % self.shape.per_class
+            inner = np.empty(len(order), F32)
+            for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if e > s:
+                    x = y[s:e] @ self.p["ww"][k]
+                    x += self.p["bw"][k]
+                    inner[s:e] = softmax(x, word[s:e], False)
+            log[order] += inner
+            out[index] = log
         return out
 
-    def _by_class(self, c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def _by_class(self, c: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The tokens of head words in order of their class, and where each class begins."""
         order = np.argsort(c.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(self.shape.classes + 1))
-        for k in range(self.shape.classes):
-            if cuts[k + 1] > cuts[k]:
-                yield k, order[cuts[k] : cuts[k + 1]]
+        cuts = np.searchsorted(c.take(order), np.arange(self.shape.classes + 1)).tolist()
+        return order[: cuts[-1]], cuts
 
     # --- training ---
 
     def gradients(self, index, h, tape, ids, classes) -> dict[str, np.ndarray]:
+        """Of the loss by each parameter; of the inputs' weights only the rows of `words`, the words that the window has."""
         p, n = self.p, self.shape.hidden
-        g = {k: np.zeros(s, F32) for k, s in self.shape.sizes().items()}
-        c, scale = classes[index], F32(1 / len(index))
-        d = softmax(h @ p["wc"] + p["bc"], c, True)
+        g = {"ww": np.zeros(p["ww"].shape, F32), "bw": np.zeros(p["bw"].shape, F32)}
+        c, scale = classes.take(index), F32(1 / len(index))
+        d = h @ p["wc"]
+        d += p["bc"]
+        d = softmax(d, c, True)
         d *= scale
         g["wc"], g["bc"] = h.T @ d, d.sum(0)
         dh = d @ p["wc"].T
-        for k, rows in self._by_class(c):
-            y = h[rows]
-            d = softmax(y @ p["ww"][k] + p["bw"][k], ids[index[rows]] - k * self.shape.per_class, True)
-            d *= scale
-            g["ww"][k], g["bw"][k] = y.T @ d, d.sum(0)
-            dh[rows] += d @ p["ww"][k].T
-        before, fresh, active, steps = tape
-        ends = np.cumsum(active)
-        inputs, dxs = [], []
-        carried = np.zeros((0, n), F32)
-        for t in range(len(steps) - 1, -1, -1):
-            last, hn, r, z, new = steps[t]
-            a = int(active[t])
-            dnow = dh[ends[t] - a : ends[t]]
-            if len(carried):
+        order, cuts = self._by_class(c)
+        y, word = h.take(order, 0), ids.take(index.take(order)) % self.shape.per_class
+        dy = np.empty_like(y)
+        for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if e > s:
+                d = y[s:e] @ p["ww"][k]
+                d += p["bw"][k]
+                d = softmax(d, word[s:e], True)
+                d *= scale
+                np.matmul(y[s:e].T, d, out=g["ww"][k])
+                np.sum(d, 0, out=g["bw"][k])
+                np.matmul(d, p["ww"][k].T, out=dy[s:e])
+        dh[order] += dy
+        before, fresh, active, (last, hn, gates, new) = tape
+        dx = np.empty((len(h), 3 * n), F32)
+        du = np.empty((len(h), 3 * n), F32)
+        ut = np.ascontiguousarray(p["u"].T)
+        carried, e = None, len(h)
+        for t in range(len(active) - 1, -1, -1):
+            a = active[t]
+            s = e - a
+            r, z = gates[s:e, :n], gates[s:e, n:]
+            dnow = dh[s:e]
+            if carried is not None:
                 dnow[: len(carried)] += carried
-            dnew = dnow * (1 - z) * (1 - new * new)
-            dx = np.empty((a, 3 * n), F32)
-            dx[:, :n] = dnew * hn * r * (1 - r)
-            dx[:, n : 2 * n] = dnow * (last - new) * z * (1 - z)
-            dx[:, 2 * n :] = dnew
-            du = dx.copy()
-            du[:, 2 * n :] *= r
-            g["u"] += last.T @ du
-            carried = dnow * z + du @ p["u"].T
-            carried[fresh[t, :a]] = 0
-            inputs.append(before[t, :a])
-            dxs.append(dx)
-        dx, at = np.concatenate(dxs), np.concatenate(inputs)
+            here, back = dx[s:e], du[s:e]
+            keep = dnow * z
+            dnew = dnow - keep
+            dnew -= dnew * new[s:e] * new[s:e]
+            gate = here[:, :n]
+            np.multiply(dnew, hn[s:e], out=gate)
+            gate *= r
+            gate -= gate * r
+            gate = here[:, n : 2 * n]
+            np.subtract(last[s:e], new[s:e], out=gate)
+            gate *= keep
+            gate -= gate * z
+            here[:, 2 * n :] = dnew
+            back[:, : 2 * n] = here[:, : 2 * n]
+            np.multiply(dnew, r, out=back[:, 2 * n :])
+            carried = back @ ut
+            carried += keep
+            if fresh[t, :a].any():
+                carried[fresh[t, :a]] = 0
+            e = s
+        g["u"] = last.T @ du
         g["b"] = dx.sum(0)
-        order = np.argsort(at.astype(np.int32), kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], at[order][1:] != at[order][:-1])))
-        g["x"][at[order][first]] = np.add.reduceat(dx[order], first, axis=0)
+        order = np.argsort(before.astype(np.int16), kind="stable")
+        at = before.take(order)
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        g["words"] = at.take(first)
+        g["x"] = np.add.reduceat(dx.take(order, 0), first, axis=0)
         return g
 
 
@@ -230,8 +270,7 @@ class Trainer:
         p = self.network.p
         for index, h, tape in self.network.windows(packed, ids, start_id, True):
             g = self.network.gradients(index, h, tape, ids, classes)
-            words = np.unique(tape[0])
-            g["x"] = g["x"][words]
+            words = g.pop("words")
             norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
             self.steps += 1
             # one factor for the rate, the bias of both averages and the clipped length of the gradient

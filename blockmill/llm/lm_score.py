@@ -36,7 +36,7 @@ BEGIN_TOKENS, BEGIN_STEPS, PASSES_MOST = 1_000_000, 400, 8
 #: Rounds, tokens of a shard in a round, about, and tasks that a round's shards are dealt to, at most.
 ROUNDS, ROUND_TOKENS, TASKS_MOST = 4, 1_000_000, 8192
 #: Tokens that are packed for scoring at once, and the streams that tokens are packed on in scoring and in training.
-PACK, STREAMS, TRAIN_STREAMS = 1_500_000, 256, 128
+PACK, STREAMS, TRAIN_STREAMS = 1_500_000, 512, 256
 RATE_BEGIN, RATE = 0.008, 0.004
 #: Blocks that a copy's weights move in.
 BLOCKS = 16
