@@ -141,7 +141,8 @@ def test_scores_of_odd_texts(spark):
     assert got == want and key
     assert {r.train_tokens for r in rows} == {n}
     assert all(np.isfinite(r.score) and r.score < 0 for r in rows)
-    assert len({round(r.score, 6) for r in rows if r.doc_id in (3, 8)}) == 1
+    same = [r.score for r in rows if r.doc_id in (3, 8)]
+    assert max(same) - min(same) < 1e-5  # equal texts, but for rounding of 32-bit sums
     assert lm_score.score_documents(df.limit(0)).count() == 0
     alone = lm_score.score_documents(df.where("doc_id = 3"), held_out=F.lit(True)).first()
     assert (alone.train_tokens, alone.n_known, round(alone.base_score, 6)) == (0, 0, 0.0)
