@@ -34,9 +34,10 @@ HELD_MOST, BINS = 262_144, 16
 #: Training tokens that the network begins with, about, and steps on them at least (by further passes over them, few at most).
 BEGIN_TOKENS, BEGIN_STEPS, PASSES_MOST = 1_000_000, 400, 8
 #: Rounds, tokens of a shard in a round, about, and tasks that a round's shards are dealt to, at most.
-ROUNDS, ROUND_TOKENS, TASKS_MOST = 4, 1_000_000, 8192
-#: Tokens that are packed for scoring at once, and the streams that tokens are packed on in scoring and in training.
-PACK, STREAMS, TRAIN_STREAMS = 1_500_000, 512, 256
+ROUNDS, ROUND_TOKENS, TASKS_MOST = 3, 3_000_000, 8192
+#: Tokens that are packed for scoring at once, and the streams that tokens are packed on in scoring and in training. A pack has
+#: as many steps as its longest text has tokens, so that larger packs have fuller steps.
+PACK, STREAMS, TRAIN_STREAMS = 3_000_000, 512, 256
 RATE_BEGIN, RATE = 0.008, 0.004
 #: Blocks that a copy's weights move in.
 BLOCKS = 16
@@ -187,7 +188,7 @@ def _round(coded: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, tasks:
                 for _ in range(min(PASSES_MOST, -(-BEGIN_STEPS * WINDOW // len(packed.index))) if begin else 1):
                     trainer.train(packed, ids, _classes(ids, shape), start_id)
                 parts = np.array_split(flat(network.p), BLOCKS)
-                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([int(shard[s])] * BLOCKS, pa.int32()), pa.array([len(ids)] * BLOCKS, pa.int64()), pa.array([x.astype(np.float64).tobytes() for x in parts], pa.binary())], ["block", "shard", "n", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([int(shard[s])] * BLOCKS, pa.int32()), pa.array([len(ids)] * BLOCKS, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "shard", "n", "weights"])
 
     def average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
@@ -195,11 +196,11 @@ def _round(coded: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, tasks:
         for batch in batches:
             for *k, m, w in zip(batch.column("block").to_pylist(), batch.column("shard").to_pylist(), batch.column("n").to_pylist(), batch.column("weights").to_pylist(), strict=True):
                 k = tuple(k)
-                x = np.frombuffer(w, np.float64) * m
+                x = np.frombuffer(w, np.float32).astype(np.float64) * m
                 total[k] = total[k] + x if k in total else x
                 n[k] = n.get(k, 0) + m
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in n], pa.int32()), pa.array([s for _, s in n], pa.int32()), pa.array(list(n.values()), pa.int64()), pa.array([(total[k] / n[k]).tobytes() for k in n], pa.binary())], ["block", "shard", "n", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in n], pa.int32()), pa.array([s for _, s in n], pa.int32()), pa.array(list(n.values()), pa.int64()), pa.array([(total[k] / n[k]).astype(np.float32).tobytes() for k in n], pa.binary())], ["block", "shard", "n", "weights"])
 
     schema = "block int, shard int, n long, weights binary"
     dealt = coded.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "key", "ids")
@@ -207,7 +208,7 @@ def _round(coded: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, tasks:
     # sums in two steps, in the order of the shards: those of up to 64 groups of copies, then those of the groups
     grouped = copies.repartition(F.col("block"), F.col("shard") % 64).sortWithinPartitions("block", "shard").withColumn("shard", F.col("shard") % 64)
     rows = grouped.mapInArrow(average, schema).repartition(F.col("block")).sortWithinPartitions("block", "shard").withColumn("shard", F.lit(0)).mapInArrow(average, schema).orderBy("block").collect()
-    return np.concatenate([np.frombuffer(r["weights"], np.float64) for r in rows]).astype(np.float32) if rows else weights
+    return np.concatenate([np.frombuffer(r["weights"], np.float32) for r in rows]) if rows else weights
 
 
 def _trained(docs: DataFrame, vocabulary: Vocabulary, scratch: Scratch) -> dict[str, np.ndarray]:
