@@ -9,10 +9,12 @@ shares allow patterns that the masks miss, a run of words that every pattern lea
 Words are runs of letters and digits (any non-ASCII character counts as a letter) with A-Z in lower case, so that marks
 and case don't hide a passage.
 
-Items that hold one window make up a class, whose id is the smallest of theirs, and a document gives a row for each class
-that it shares a passage with, so that a passage that many items and many documents share does not give their product;
-`item_classes` tells the members. A window that several items hold is met once, as that of the smallest id, and before
-all others: a document that holds it is not compared with the class's other windows.
+Windows that the same items hold are one passage, whose id is a hash of those items' ids, and a document gives a row for
+each passage that it shares, so that a passage that many items and many documents share does not give their product;
+`passage_items` tells the items of those that several hold, and the two together all links. A window that several items
+hold is met once, as that of the smallest id, and before all others: a document that holds it is not compared with the
+windows that those items alone hold. Items that hold one window also make up a class, whose id is the smallest of theirs
+(`item_classes`).
 
 The benchmark's side of the join is held in the tasks in slices of a bounded number of words; a benchmark beyond the bound
 is met slice after slice, each over all documents.
@@ -41,7 +43,7 @@ SLICE_WORDS = 1_000_000
 FILTER_BITS = 22
 #: Seed hits that are looked at together.
 HITS = 2_000_000
-SCHEMA = "doc_id long, class_id long, item_id long, doc_start int, item_start int, window int, matched int, n_items int"
+SCHEMA = "doc_id long, class_id long, item_id long, doc_start int, item_start int, window int, matched int, n_items int, passage_id long"
 
 
 @dataclass
@@ -54,6 +56,9 @@ class Index:
     windows: np.ndarray  # of each item, the first of its windows in the two lists that follow
     own: np.ndarray  # 0 for a window that belongs to another item, 1 if no other item holds it, else 2
     held: np.ndarray  # how many items hold it
+    passage: np.ndarray  # the number of its passage
+    passages: np.ndarray  # the passages' ids
+    members: np.ndarray  # sorted, of passages that several items hold: the passage's number times the items, plus the item
     seeds: list[np.ndarray]  # by mask, those that windows of several items need, then those that other windows need
     item: list[np.ndarray]
     at: list[np.ndarray]
@@ -84,6 +89,11 @@ def complete(masks: Iterable[tuple[int, ...]], window: int, percent: int) -> tup
     return (*masks, tuple(range(max(1, -(-(window - bad) // (bad + 1)))))) if bad > 6 or missed(places, bad) else masks
 
 
+def _codes(items: np.ndarray) -> np.ndarray:
+    """Of ids; a passage's id is the exclusive or of its items' codes."""
+    return T.mix(items.astype(np.int64).view(np.uint64) * T.MUL_A + T.MUL_C)
+
+
 def build(items: list[int], texts: list[bytes], masks: Iterable[tuple[int, ...]] = MASKS, window: int = WINDOW, classes: list[int] | None = None) -> Index:
     """classes: of each item; by default the smallest id of the items that are linked by windows that several hold."""
     order = np.argsort(np.array(items, np.int64), kind="stable")
@@ -98,8 +108,14 @@ def build(items: list[int], texts: list[bytes], masks: Iterable[tuple[int, ...]]
     of = one[:, 1].astype(np.int64)
     named = items[roots(len(items), of, np.repeat(of[begin], held))] if classes is None else np.array(classes, np.int64)[order]
     kind = np.searchsorted(kinds, x)
+    # texts of one id are one item here
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:, 0] != one[:-1, 0]) | (items[of[1:]] != items[of[:-1]])
+    passages, number = np.unique(np.bitwise_xor.reduceat(np.where(new, _codes(items)[of], U(0)), begin) if len(begin) else kinds, return_inverse=True)
+    several = np.repeat(held > 1, held)
+    members = np.unique(np.repeat(number, held)[several] * len(items) + of[several])
     own = np.where(of[begin][kind] == owner, np.where(held[kind] > 1, 2, 1), 0)
-    out = Index(items, h, w.bounds, [*masks, *(tuple(range(k)) for k in short)], named, first, own, held[kind], [], [], [], np.zeros(1 << FILTER_BITS, bool))
+    out = Index(items, h, w.bounds, [*masks, *(tuple(range(k)) for k in short)], named, first, own, held[kind], number[kind], passages.view(np.int64), members, [], [], [], np.zeros(1 << FILTER_BITS, bool))
     doc = w.doc()
     for kind in (2, 1):
         owned = np.concatenate(([0], np.cumsum(own == kind)))
@@ -141,7 +157,7 @@ def _alignments(index: Index, w: T.Words, hits: list[tuple[np.ndarray, np.ndarra
 
 
 def find(index: Index, texts: list[bytes], window: int = WINDOW, percent: int = PERCENT) -> dict[str, np.ndarray]:
-    """Leaks: for each text and class of items that share a window, the best one."""
+    """Leaks: for each text and passage that it shares, the best window, but for items whose shared passages it has."""
     w = T.words(texts, parts=T.MARKS)
     h = T.hashes(w)
     hits = []
@@ -149,32 +165,38 @@ def find(index: Index, texts: list[bytes], window: int = WINDOW, percent: int =
         x = seeds(h, mask)
         at = np.flatnonzero(index.filter[(x >> U(64 - FILTER_BITS)).view(np.int64)])
         hits.append((x[at], at))
-    names = ("text", "class", "item", "doc_start", "item_start", "window", "matched", "n_items")
+    names = ("text", "class", "item", "doc_start", "item_start", "window", "matched", "n_items", "passage")
     empty = {k: np.zeros(0, np.int64) for k in names}
-    # windows of several items first; texts and classes that share one are done
+    # windows of several items first; they link the text with all items that hold them
     shared = _best([empty, *(f for keys in _alignments(index, w, hits, 2) for f in _passing(index, w, h, keys, window, percent, 2))])
-    done = np.stack([shared["text"], shared["class"]], 1)
-
-    def left(keys: np.ndarray) -> np.ndarray:
-        pair = np.stack([keys[:, 0], index.classes[keys[:, 1]]], 1)
-        of = np.unique(np.concatenate([done, pair]), axis=0, return_inverse=True)[1].reshape(-1)
-        return keys[~np.isin(of[len(done) :], of[: len(done)])]
-
-    return _best([shared, *(f for keys in _alignments(index, w, hits, 1) for f in _passing(index, w, h, left(keys), window, percent, 1))])
+    return _best([shared, *(f for keys in _alignments(index, w, hits, 1) for f in _passing(index, w, h, keys[~_linked(index, shared, keys)], window, percent, 1))])
+
+
+def _linked(index: Index, shared: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """Whether the text of an alignment has a passage that the item holds with others."""
+    lo, hi = np.searchsorted(shared["text"], keys[:, 0]), np.searchsorted(shared["text"], keys[:, 0], side="right")
+    out, upto = np.zeros(len(keys), bool), np.cumsum(hi - lo)
+    for begin in range(0, int(upto[-1]) if len(upto) else 0, HITS):
+        e = np.arange(begin, min(begin + HITS, int(upto[-1])))
+        key = np.searchsorted(upto, e, side="right")
+        member = shared["passage"][hi[key] - (upto[key] - e)] * len(index.items) + keys[key, 1]
+        at = np.minimum(np.searchsorted(index.members, member), len(index.members) - 1)
+        out[key[index.members[at] == member]] = True
+    return out
 
 
 def _best(found: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """Of each text and class the window of most equal words; of those the first."""
+    """Of each text and passage the window of most equal words; of those the first."""
     out = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
-    order = np.lexsort((out["doc_start"], out["item_start"], out["item"], -out["matched"], out["class"], out["text"]))
-    text, cls = out["text"][order], out["class"][order]
+    order = np.lexsort((out["doc_start"], out["item_start"], out["item"], -out["matched"], out["passage"], out["text"]))
+    text, passage = out["text"][order], out["passage"][order]
     new = np.ones(len(order), bool)
-    new[1:] = (text[1:] != text[:-1]) | (cls[1:] != cls[:-1])
+    new[1:] = (text[1:] != text[:-1]) | (passage[1:] != passage[:-1])
     return {k: v[order[new]] for k, v in out.items()}
 
 
 def _passing(index: Index, w: T.Words, h: np.ndarray, keys: np.ndarray, window: int, percent: int, kind: int) -> Iterator[dict[str, np.ndarray]]:
-    """The best windows of a kind that pass, of each text and class, some alignments at a time."""
+    """The best windows of a kind that pass, of each text and passage, some alignments at a time."""
     for part in np.array_split(keys, max(1, len(keys) // 20_000)):
         found = _verify(index, w, h, part, window, percent, kind)
         if found is not None:
@@ -209,19 +231,25 @@ def _verify(index: Index, w: T.Words, h: np.ndarray, keys: np.ndarray, window: i
     pick = np.flatnonzero((100 * matched >= np.repeat(least, places) * wide) & (index.own[at] == kind))
     of = np.repeat(np.arange(len(text)), places)[pick]
     begin = j[start[pick]]
-    return {"text": text[of], "class": index.classes[item[of]], "item": item[of], "doc_start": shift[of] + begin - w.bounds[text[of]], "item_start": begin, "window": size[of], "matched": matched[pick], "n_items": index.held[at[pick]]}
+    return {"text": text[of], "class": index.classes[item[of]], "item": item[of], "doc_start": shift[of] + begin - w.bounds[text[of]], "item_start": begin, "window": size[of], "matched": matched[pick], "n_items": index.held[at[pick]], "passage": index.passage[at[pick]]}
 
 
-def _indexes(bench: DataFrame, masks, window: int, percent: int) -> Iterator[Index]:
-    """One index for each slice of the benchmark's different texts, each known by its smallest id."""
-    masks = complete(masks, window, percent)
+def _dealt(bench: DataFrame) -> tuple[DataFrame, int]:
+    """(text, item_id, slice) for each of the benchmark's different texts, known by its smallest id, and the number of slices."""
     texts = bench.groupBy("text").agg(F.min("item_id").alias("item_id"))
     total = texts.selectExpr("sum(size(split(text, '[^0-9A-Za-z\\u0080-\\uffff]+'))) AS n").first()["n"] or 0
     parts = -(-total * 5 // (SLICE_WORDS * 4)) if total > SLICE_WORDS else 1
+    return texts.withColumn("slice", F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int")), parts
+
+
+def _indexes(bench: DataFrame, masks, window: int, percent: int) -> Iterator[Index]:
+    """One index for each slice of the benchmark's different texts."""
+    masks = complete(masks, window, percent)
+    texts, parts = _dealt(bench)
     if parts > 1:  # an item's class may lie in several slices
         texts = texts.join(item_classes(bench, window), "item_id")
     for k in range(parts):
-        rows = (texts.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k) if parts > 1 else texts).toPandas()
+        rows = (texts.where(F.col("slice") == k) if parts > 1 else texts).toPandas()
         yield build(rows["item_id"].tolist(), [x.encode() for x in rows["text"]], masks, window, rows["class_id"].tolist() if parts > 1 else None)
 
 
@@ -253,16 +281,45 @@ def item_classes(bench: DataFrame, window: int = WINDOW, item_col: str = "item_i
     return rows.select("item_id").distinct().join(labels, "item_id", "left").selectExpr("item_id", "coalesce(label, item_id) AS class_id")
 
 
+def passage_items(bench: DataFrame, window: int = WINDOW, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(passage_id, item_id) for each item of each passage that several items hold, copies included; others have one item.
+
+    Passages are told within the slices that the benchmark is met in. Null ids and texts are passed over, and repeated rows
+    told once. Other columns are ignored, whatever their names. No rows give no rows.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = T.words(texts_of(part.column("text")), parts=T.MARKS)
+                x, first = T.shingles(T.hashes(w), w.bounds, window)
+                some = part.select(["slice", "item_id"]).take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(first))))
+                codes = _codes(some.column("item_id").to_numpy()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), *some.columns, pa.array(codes)], ["seen", "slice", "first", "code"])
+
+    rows = _cleaned(bench, item_col, item_text_col)
+    scratch = Scratch(rows.sparkSession, "passages")
+    texts = scratch.write(_dealt(rows)[0], "texts")
+    held = scratch.write(texts.mapInArrow(run, "seen long, slice int, first long, code long").distinct(), "held")
+    named = held.groupBy("slice", "seen").agg(F.bit_xor("code").alias("passage_id"))
+    one = named.groupBy("slice", "passage_id").agg(F.min("seen").alias("seen"))
+    copies = rows.join(texts.select("text", F.col("item_id").alias("first")), "text").select("first", "item_id").distinct()
+    out = scratch.write(held.join(one, ["slice", "seen"]).select("passage_id", "first").distinct().join(copies, "first").select("passage_id", "item_id").distinct(), "members")
+    return out.join(out.groupBy("passage_id").count().where("count > 1").select("passage_id"), "passage_id")
+
+
 def find_leaks(docs: DataFrame, bench: DataFrame, window: int = WINDOW, percent: int = PERCENT, masks=MASKS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, item_id, doc_start, item_start, window, matched, n_items) for each document and class of items that share a passage.
-
-    A passage is a window of `window` words of the item of which percent or more are equal, at aligned places, in the text.
-    Items of fewer words must be there whole; items of fewer than 5 words are not looked for. item_id is the class's item
-    of the best window (of windows that several items hold, the smallest id that does), n_items how many hold it, and
-    `item_classes` tells all members of the class. Null texts and blank ones leak nothing; null item ids and texts are
-    passed over. Repeated documents give a row each; repeated items, and items of one text, are one. Other columns are
-    ignored, whatever their names. Empty tables on either side give no rows. A benchmark of several slices may give a
-    document a row for each slice that a class lies in.
+    """(doc_id, class_id, item_id, doc_start, item_start, window, matched, n_items, passage_id) for each document and passage that it shares.
+
+    A document shares a window of `window` words of an item if percent or more of them are equal, at aligned places, in the
+    text. Items of fewer words must be there whole; items of fewer than 5 words are not looked for. Windows that the same
+    items hold are one passage: the row tells the best of them, as a window of the smallest id that holds it (item_id), and
+    how many texts hold it (n_items). `passage_items` names all items of a passage that several hold, each of them linked
+    with the document; what such an item alone holds gives no further row. class_id is the item's class (`item_classes`).
+    Null texts and blank ones leak nothing; null item ids and texts are passed over. Repeated documents give rows each;
+    repeated items, and items of one text, are one. Other columns are ignored, whatever their names. Empty tables on either
+    side give no rows. Passages lie within a slice of the benchmark, so that several slices may link a document with an
+    item by a passage each.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     spark, out = docs.sparkSession, None
@@ -282,7 +339,7 @@ def _finder(sent, window: int, percent: int):
             for part in slices(batch, "text"):
                 f = find(index, texts_of(part.column("text")), window, percent)
                 ids = part.column("doc_id").take(pa.array(f["text"]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(f["class"]), pa.array(index.items[f["item"]]), *(pa.array(f[c], pa.int32()) for c in ("doc_start", "item_start", "window", "matched", "n_items"))], [c.split()[0] for c in SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(f["class"]), pa.array(index.items[f["item"]]), *(pa.array(f[c], pa.int32()) for c in ("doc_start", "item_start", "window", "matched", "n_items")), pa.array(index.passages[f["passage"]])], [c.split()[0] for c in SCHEMA.split(", ")])
 
     return run
 
@@ -308,4 +365,4 @@ def drop_leaks(docs: DataFrame, bench: DataFrame, window: int = WINDOW, percent:
     return docs
 
 
-__all__ = ["build", "complete", "drop_leaks", "find", "find_leaks", "item_classes", "seeds"]
+__all__ = ["build", "complete", "drop_leaks", "find", "find_leaks", "item_classes", "passage_items", "seeds"]

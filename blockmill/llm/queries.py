@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, quality_mil, warc
 from .common import Scratch, table
-from .decontaminate import find_leaks
+from .decontaminate import find_leaks, passage_items
 from .jaccard_join import jaccard_components
 from .lm_score import score_documents
 from .mixing import mix, mix_oracle
@@ -58,7 +58,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Documents by passage; and, as rows without `matched` and doc_id, the items of each passage that several hold."""
+    bench = table(spark, sf_dir, "benchmark")
+    return find_leaks(table(spark, sf_dir, "documents"), bench).unionByName(passage_items(bench), allowMissingColumns=True)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -448,6 +448,29 @@ def test_leaks_of_shared_passages(spark, monkeypatch):
     assert {(r.doc_id, r.class_id) for r in decontaminate.find_leaks(frame, bench).collect()} == want
 
 
+def test_leaks_of_items_that_share_passages(spark, monkeypatch):
+    """Documents with several items of a class: every link is there, by the passages and their items."""
+    rng = random.Random(8)
+    some = lambda n: [f"v{rng.randrange(1000)}" for _ in range(n)]
+    parts = [some(15) for _ in range(8)]
+    items = [(k, " ".join([*parts[k], *some(15), *parts[k + 1]])) for k in range(7)]  # a chain: one class
+    items += [(20 + k, x) for k, (_, x) in enumerate(items[:3])] + [(3, " ".join(some(20))), (40, " ".join([*parts[2], *some(9)])), (41, " ".join(some(6)))]
+    docs = [(k, " ".join([*some(5), *parts[k], *some(5)])) for k in range(8)]
+    docs += [(10, " ".join(some(4) + items[0][1].split()[15:30] + some(4) + items[5][1].split()[14:31])), (11, items[2][1]), (12, items[-3][1] + " " + items[-1][1]), (13, " ".join(some(60)))]
+    docs += [(14, " ".join("sub" if j in (3, 8) else w for j, w in enumerate(parts[2]))), (None, items[6][1])]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = _brute_leaks(docs, items)
+    assert {(10, 0), (10, 5)} <= want
+    for words in (1_000_000, 100):
+        monkeypatch.setattr(decontaminate, "SLICE_WORDS", words)
+        rows = decontaminate.find_leaks(frame, bench).collect()
+        members = {}
+        for r in decontaminate.passage_items(bench).collect():
+            members.setdefault(r.passage_id, set()).add(r.item_id)
+        assert {(r.doc_id, k) for r in rows for k in members.get(r.passage_id, {r.item_id})} == want
+        assert len({(r.doc_id, r.passage_id) for r in rows}) == len(rows)
+
+
 def _brute_classes(items, window=13):
     windows, out = {}, {k: k for k, _ in items}
     for k, text in items:
