@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, AtomicType, StructType
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 #: What other layouts call the three common roles.
@@ -67,45 +68,107 @@ def _strings(items) -> str:
     return f"array({', '.join(map(_q, items))})" if items else "cast(array() AS array<string>)"
 
 
-def _role(x: str) -> str:
-    return f"coalesce(map({', '.join(f'{_q(a)}, {_q(b)}' for a, b in ROLES.items())})[{x}], {x})"
+def _role(x: str, roles: dict[str, str]) -> str:
+    return f"coalesce(map({', '.join(f'{_q(a)}, {_q(b)}' for a, b in roles.items())})[{x}], {x})" if roles else x
 
 
-def canonical_turns(records: DataFrame, payload_col: str = "payload", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+def _name(*parts: str) -> str:
+    return ".".join(f"`{p.replace('`', '``')}`" for p in parts)
+
+
+class _Json:
+    """How a payload that is JSON text is read: its fields, the items of its lists, and the sorted known paths it has."""
+
+    def __init__(self, lists: list[str], known: list[str]):
+        self.lists, self.known = lists, known
+
+    def opened(self, records: DataFrame) -> DataFrame:
+        item = "map<string,string>"
+        out = records.withColumn("_m", F.expr(f"from_json(payload, '{item}', {LONGEST})"))
+        for name in self.lists:
+            out = out.withColumn(f"_{name}", F.expr(f"from_json(_m[{_q(name)}], 'array<{item}>', {LONGEST})"))
+        return out
+
+    def paths(self) -> str:
+        # a path with a null value doesn't count
+        some = "map_keys(map_filter({0}, (k, v) -> v IS NOT NULL))"
+        had = [f"coalesce({some.format('_m')}, array())"]
+        had += [f"transform(flatten(transform(coalesce(_{n}, array()), x -> coalesce({some.format('x')}, array()))), k -> concat({_q(n + '[].')}, k))" for n in self.lists]
+        return f"array_sort(array_intersect(concat({', '.join(had)}), {_strings(self.known)}))"
+
+    def field(self, name: str) -> str:
+        return f"_m[{_q(name)}]"
+
+    def items(self, name: str) -> str:
+        return f"_{name}"
+
+    def part(self, of: str, name: str) -> str:
+        return f"x[{_q(name)}]"
+
+
+class _Nested:
+    """The same of a payload that is a struct, whose fields and lists of structs are read as they are."""
+
+    def __init__(self, kind: StructType, known: list[str]):
+        self.kinds, self.known = {f.name: f.dataType for f in kind.fields}, known
+        self.inside = {n: {f.name: f.dataType for f in k.elementType.fields} for n, k in self.kinds.items() if isinstance(k, ArrayType) and isinstance(k.elementType, StructType)}
+
+    def opened(self, records: DataFrame) -> DataFrame:
+        return records
+
+    def paths(self) -> str:
+        here = []
+        for path in self.known:
+            of, _, name = path.partition("[].")
+            if not name and of in self.kinds:
+                here.append(f"CASE WHEN {_name('payload', of)} IS NOT NULL THEN {_q(path)} END")
+            elif name in self.inside.get(of, {}):
+                here.append(f"CASE WHEN exists({_name('payload', of)}, x -> {_name('x', name)} IS NOT NULL) THEN {_q(path)} END")
+        return f"array_sort(filter(array({', '.join(here)}), p -> p IS NOT NULL))" if here else _strings([])
+
+    def _text(self, x: str, kind) -> str:
+        return f"CAST({x} AS STRING)" if isinstance(kind, AtomicType) else f"to_json({x})"
+
+    def field(self, name: str) -> str:
+        return self._text(_name("payload", name), self.kinds[name]) if name in self.kinds else "CAST(NULL AS STRING)"
+
+    def items(self, name: str) -> str:
+        return _name("payload", name) if name in self.inside else f"CAST(NULL AS {TURNS})"
+
+    def part(self, of: str, name: str) -> str:
+        return self._text(_name("x", name), self.inside[of][name]) if name in self.inside.get(of, {}) else "CAST(NULL AS STRING)"
+
+
+def canonical_turns(records: DataFrame, payload_col: str = "payload", mappings: tuple[Mapping, ...] = MAPPINGS, roles: dict[str, str] = ROLES) -> DataFrame:
     """records with `fingerprint`, `layout` (a mapping's name, or null) and `turns` added.
 
-    The payload is a JSON object as text. Records that are null, no JSON object or of an unknown layout have no layout and
-    an empty list of turns; null texts are empty; a turn of fields that all are absent is left out. Lists keep their order,
-    and repeated turns stay. Roles by which other layouts call the common ones get the common name (`ROLES`). Repeated
+    The payload is a JSON object as text, or a struct, whose texts may be of any length and hold any characters. The
+    fingerprint is taken of each record, from those known paths under which it has a value. Records that are null, no
+    object or of an unknown layout have no layout and an empty list of turns; null texts are empty; a turn of fields that all are absent is left out. Lists keep their order,
+    and repeated turns stay. Roles by which other layouts call the common ones get the common name (`roles`; none: they stay). Repeated
     records are rows each; all columns of records pass through, whatever their names, but for fingerprint, layout and
     turns, which are replaced. No rows give no rows.
     """
     kept = [c for c in records.columns if c not in ("fingerprint", "layout", "turns")]
-    records = records.select(F.struct(F.lit(1).alias("_1"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept))).alias("row"), F.col(f"`{payload_col}`").cast("string").alias("payload"))
+    kind = records.select(F.col(f"`{payload_col}`")).schema[0].dataType
+    payload = F.col(f"`{payload_col}`") if isinstance(kind, StructType) else F.col(f"`{payload_col}`").cast("string")
+    records = records.select(F.struct(F.lit(1).alias("_1"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept))).alias("row"), payload.alias("payload"))
     known = sorted({p for m in mappings for p in m.paths()})
-    lists = sorted({m.list_field for m in mappings if m.list_field})
-    item = "map<string,string>"
-    out = records.withColumn("_m", F.expr(f"from_json(payload, '{item}', {LONGEST})"))
-    for name in lists:
-        out = out.withColumn(f"_{name}", F.expr(f"from_json(_m[{_q(name)}], 'array<{item}>', {LONGEST})"))
-    # a path with a null value doesn't count
-    some = "map_keys(map_filter({0}, (k, v) -> v IS NOT NULL))"
-    inner = [f"transform(flatten(transform(coalesce(_{n}, array()), x -> coalesce({some.format('x')}, array()))), k -> concat({_q(n + '[].')}, k))" for n in lists]
-    paths = f"array_sort(array_intersect(concat(coalesce({some.format('_m')}, array()), {', '.join(inner)}), {_strings(known)}))"
-    out = out.withColumn("fingerprint", F.expr(f"sha2(array_join({paths}, '\n'), 256)"))
+    read = _Nested(kind, known) if isinstance(kind, StructType) else _Json(sorted({m.list_field for m in mappings if m.list_field}), known)
+    out = read.opened(records).withColumn("fingerprint", F.expr(f"sha2(array_join({read.paths()}, '\n'), 256)"))
     cases, layouts = [], []
     for m in mappings:
         when = f"fingerprint IN ({', '.join(map(_q, m.fingerprints()))})"
         layouts.append(f"WHEN {when} THEN {_q(m.name)}")
         if m.list_field:
-            role = _role(f"coalesce(x[{_q(m.role)}], '')")
-            turns = f"transform(_{m.list_field}, x -> named_struct('role', {role}, 'text', coalesce(x[{_q(m.text)}], '')))"
+            role = _role(f"coalesce({read.part(m.list_field, m.role)}, '')", roles)
+            turns = f"transform({read.items(m.list_field)}, x -> named_struct('role', {role}, 'text', coalesce({read.part(m.list_field, m.text)}, '')))"
             if "system" in m.optional:
-                turns = f"concat(CASE WHEN _m['system'] IS NOT NULL THEN array(named_struct('role', 'system', 'text', _m['system'])) ELSE cast(array() AS {TURNS}) END, {turns})"
+                turns = f"concat(CASE WHEN {read.field('system')} IS NOT NULL THEN array(named_struct('role', 'system', 'text', {read.field('system')})) ELSE cast(array() AS {TURNS}) END, {turns})"
         else:
             each = []
             for role, fields in m.turns:
-                values = ", ".join(f"_m[{_q(f)}]" for f in fields)
+                values = ", ".join(map(read.field, fields))
                 each.append(f"named_struct('role', {_q(role)}, 'text', CASE WHEN coalesce({values}) IS NOT NULL THEN concat_ws('\n\n', {values}) END)")
             turns = f"filter(array({', '.join(each)}), t -> t.text IS NOT NULL)"
         cases.append(f"WHEN {when} THEN {turns}")
@@ -153,18 +216,18 @@ def read_turns(formatted: DataFrame) -> DataFrame:
     return split.select("row.*", F.expr(read).alias("read"), F.expr(loss).alias("loss_text"))
 
 
-def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(conv_id, fingerprint, layout, turns, formatted, loss_runs) per conversation of rows by turn.
 
     Turns are in order of the turn's number, then role, then text; nulls come first and null roles and texts are empty.
     Repeated rows are turns of their own. Rows without an id make up one conversation. Other columns are ignored, whatever
-    their names. No rows give no rows. A conversation has the message layout's fingerprint; its turns have the roles and
-    texts of the rows as they are, without JSON between. A conversation is one row, and so holds 2 GB of text at most.
+    their names. No rows give no rows. A conversation becomes a record of messages with role and content, which goes
+    through `canonical_turns` as any record does: its own fingerprint selects its layout, and without one of mappings it has
+    no turns. Roles are those of the rows. A conversation is one row, and so holds 2 GB of text at most.
     """
     rows = rows.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    layout = MAPPINGS[0]
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("r")).selectExpr("conv_id", f"{_q(layout.fingerprints()[0])} AS fingerprint", f"{_q(layout.name)} AS layout", f"transform(r, x -> named_struct('role', x.role, 'text', x.text)) AS turns")
-    return format_turns(turns)
+    records = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("r")).selectExpr("conv_id", "named_struct('messages', transform(r, x -> named_struct('role', x.role, 'content', x.text))) AS payload")
+    return format_turns(canonical_turns(records, mappings=mappings, roles={}).drop("payload"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

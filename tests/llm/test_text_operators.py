@@ -337,6 +337,23 @@ def test_chat_layouts(spark):
         assert (out[k].layout, [(t.role, t.text) for t in out[k].turns]) == (layout, turns), payloads[k]
 
 
+def test_chat_fingerprints_of_nested_records(spark):
+    """Structs have the fingerprints and turns of the same records as JSON; conversations go through both steps."""
+    kind = "messages array<struct<role:string,content:string,x:int>>, conversations array<struct<from:string,value:string>>, dialog array<struct<speaker:string,text:string>>, system string, instruction string, input string, output string, prompt string, completion string, question string, answer int, id int"
+    texts = ['{"messages":[{"role":"user","content":"a"},{"role":"bot","content":null,"x":1}],"id":5}', '{"conversations":[{"from":"human","value":"a"},{"value":"b"}],"system":"s"}', '{"dialog":[{"speaker":"bot","text":"t"}]}',
+             '{"instruction":"do","input":"this","output":"done"}', '{"instruction":"do","output":"done"}', '{"system":"s","prompt":"p","completion":"c"}', '{"question":"q","answer":7}', '{"messages":[],"id":5}', '{"messages":[{"role":"user"}]}', '{"id":5}', "{}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, payload string")
+    nested = df.select("id", F.expr(f"from_json(payload, '{kind}')").alias("payload")).unionByName(spark.sql("SELECT 99 AS id").select("id", F.expr(f"from_json(CAST(NULL AS STRING), '{kind}')").alias("payload")))
+    said = lambda f: {r.id: (r.fingerprint, r.layout, r.turns) for r in f.collect()}
+    got = said(chat_format.canonical_turns(nested))
+    assert got.pop(99)[1:] == (None, [])
+    assert got == said(chat_format.canonical_turns(df)) and {x[1] for x in got.values()} == {"messages", "conversations", "dialog", "instruction", "prompt_completion", "question_answer", None}
+    rows = spark.createDataFrame([(1, 0, "human", "a\x00"), (1, 1, "bot", None)], "conv_id long, turn long, role string, text string")
+    for mappings, layout, turns in ((chat_format.MAPPINGS, "messages", [("human", "a\x00"), ("bot", "")]), ((chat_format.Mapping("own", "messages", "content", "role"),), "own", [("a\x00", "human"), ("", "bot")]), (chat_format.MAPPINGS[1:], None, [])):
+        r = chat_format.format_conversations(rows, mappings=mappings).first()
+        assert (r.layout, [tuple(t) for t in r.turns]) == (layout, turns)
+
+
 def test_chat_turns_of_any_length(spark):
     n = 21_000_000
     rows = spark.sql(f"SELECT 1L AS conv_id, 0L AS turn, 'human' AS role, 'short' AS text UNION ALL SELECT 1L, 1L, 'assistant', repeat('x', {n})")
