@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
@@ -40,27 +41,31 @@ class Shape:
         return {"x": (self.inputs, 3 * h), "u": (h, 3 * h), "b": (3 * h,), "wc": (h, c), "bc": (c,), "ww": (self.classes, h, self.per_class), "bw": (self.classes, self.per_class)}
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.minimum(x, 60, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+@cache
+def _ones(n: int) -> np.ndarray:
+    return np.ones(n, F32)
 
 
-def softmax(x: np.ndarray, target: np.ndarray, gradient: bool) -> np.ndarray:
-    """Log-probability of each row's target; or, in place of the logits, the gradient of its negative. Logits are held below 60."""
+def softmax(x: np.ndarray, target: np.ndarray, gradient: float | None = None) -> np.ndarray:
+    """Log-probability of each row's target; or, in place of the logits, the gradient of its negative, times a factor. Logits are held below 60."""
     np.minimum(x, F32(60), out=x)
     at = np.arange(0, x.size, x.shape[1])
     at += target
-    if gradient:
+    if gradient is not None:
         np.exp(x, out=x)
-        x *= (1 / (x @ np.ones(x.shape[1], F32)))[:, None]
-        x.reshape(-1)[at] -= 1
+        x *= (F32(gradient) / (x @ _ones(x.shape[1])))[:, None]
+        x.reshape(-1)[at] -= F32(gradient)
         return x
     picked = x.reshape(-1).take(at)
     np.exp(x, out=x)
-    return picked - np.log(x @ np.ones(x.shape[1], F32))
+    return picked - np.log(x @ _ones(x.shape[1]))
+
+
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    out = np.empty((len(h), h.shape[1] + 1), F32)
+    out[:, :-1] = h
+    out[:, -1] = 1
+    return out
 
 
 def start(shape: Shape, counts: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
@@ -117,69 +122,84 @@ class Network:
 
     # --- forward ---
 
-    def _run(self, h: np.ndarray, before: np.ndarray, fresh: np.ndarray, active: list[int], keep: bool) -> tuple[np.ndarray, tuple | None]:
+    def _gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the inputs, biases with them, and of the state, each by gate. Of the two sigmoids, (tanh(v / 2) + 1) / 2, they are halved."""
+        p, n = self.p, self.shape.hidden
+        x = np.empty((3, len(p["x"]), n), F32)
+        for k in range(3):
+            np.add(p["x"][:, k * n : (k + 1) * n], p["b"][k * n : (k + 1) * n], out=x[k])
+        u = np.ascontiguousarray(p["u"].reshape(n, 3, n).transpose(1, 0, 2))
+        x[:2] *= F32(0.5)
+        u[:2] *= F32(0.5)
+        return x, u
+
+    def _heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the classes, and of the words in each class, with the biases as a last row, for states that end in a one."""
+        p = self.p
+        return np.concatenate((p["wc"], p["bc"][None])), np.concatenate((p["ww"], p["bw"][:, None]), 1)
+
+    def _run(self, x: np.ndarray, u: np.ndarray, h: np.ndarray, before: np.ndarray, fresh: np.ndarray, active: list[int], keep: bool) -> tuple[np.ndarray, tuple | None]:
         """States of a window's tokens, step after step in one array; and, to keep, what backpropagation needs, lying likewise."""
-        p, n, total = self.p, self.shape.hidden, sum(active)
-        x = p["x"].take(before, 0)
-        x += p["b"]
-        gates, new = np.ascontiguousarray(x[:, : 2 * n]), np.ascontiguousarray(x[:, 2 * n :])
+        n, total = self.shape.hidden, sum(active)
+        gates = x.take(before, 1)
         out = np.empty((total, n), F32)
-        last = np.empty((total if keep else active[0], n), F32)
-        hn = np.empty((total, n), F32) if keep else None
+        last, hn = (np.empty((total, n), F32), np.empty((total, n), F32)) if keep else (None, None)
         at = 0
         for t, a in enumerate(active):
-            was = last[at : at + a] if keep else last[:a]
-            np.copyto(was, h[:a])
-            if fresh[t, :a].any():
-                was[fresh[t, :a]] = 0
-            hu = was @ p["u"]
-            g, c = gates[at : at + a], new[at : at + a]
-            g += hu[:, : 2 * n]
-            sigmoid(g)
+            was, new = h[:a], fresh[t, :a]
+            if keep:
+                last[at : at + a] = was
+                was = last[at : at + a]
+            if new.any():
+                was = was if keep else was.copy()
+                was[new] = 0
+            hu = np.matmul(was, u)
+            g, c, candidate = gates[:2, at : at + a], gates[2, at : at + a], hu[2]
+            g += hu[:2]
+            np.tanh(g, out=g)
+            g *= F32(0.5)
+            g += F32(0.5)
             if keep:
-                hn[at : at + a] = hu[:, 2 * n :]
-            candidate = hu[:, 2 * n :]
-            candidate *= g[:, :n]
+                hn[at : at + a] = candidate
+            candidate *= g[0]
             c += candidate
-            c += c
-            sigmoid(c)  # tanh(v) is 2 sigmoid(2 v) - 1
-            c *= 2
-            c -= 1
+            np.tanh(c, out=c)
             h = np.subtract(was, c, out=out[at : at + a])
-            h *= g[:, n:]
+            h *= g[1]
             h += c
             at += a
-        return out, (last, hn, gates, new) if keep else None
+        return out, (last, hn, gates) if keep else None
 
     def windows(self, packed: Packed, ids: np.ndarray, start_id: int, keep: bool) -> Iterator[tuple]:
-        """Per window: token numbers, states (steps joined), and what backpropagation needs."""
+        """Per window: token numbers, states (steps joined), and what backpropagation needs, of weights that may have moved since the last window."""
         h = np.zeros((packed.index.shape[1], self.shape.hidden), F32)
+        x, u = self._gates()
         for t in range(0, len(packed.index), WINDOW):
             index, fresh, active = packed.index[t : t + WINDOW], packed.fresh[t : t + WINDOW], packed.active[t : t + WINDOW].tolist()
             joined = lambda x: np.concatenate([x[k, :a] for k, a in enumerate(active)])  # noqa: E731, B023
             tokens = joined(index)
             before = ids.take(np.maximum(tokens - 1, 0))
             before[joined(fresh)] = start_id
-            out, tape = self._run(h, before, fresh, active, keep)
+            if keep and t:
+                x, u = self._gates()
+            out, tape = self._run(x, u, h, before, fresh, active, keep)
             h = out[-active[-1] :]
             yield tokens, out, (before, fresh, active, tape)
 
     def score(self, packed: Packed, ids: np.ndarray, classes: np.ndarray, start_id: int) -> np.ndarray:
         """Natural log of the probability of each token's class and, for head words, of the word within it."""
         out = np.zeros(len(ids), np.float64)
+        wc, ww = self._heads()
         for index, h, _ in self.windows(packed, ids, start_id, False):
             c = classes.take(index)
-            x = h @ self.p["wc"]
-            x += self.p["bc"]
-            log = softmax(x, c, False)
+            h = _with_ones(h)
+            log = softmax(h @ wc, c)
             order, cuts = self._by_class(c)
             y, word = h.take(order, 0), ids.take(index.take(order)) % self.shape.per_class
             inner = np.empty(len(order), F32)
             for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if e > s:
-                    x = y[s:e] @ self.p["ww"][k]
-                    x += self.p["bw"][k]
-                    inner[s:e] = softmax(x, word[s:e], False)
+                    inner[s:e] = softmax(y[s:e] @ ww[k], word[s:e])
             log[order] += inner
             out[index] = log
         return out
@@ -195,61 +215,55 @@ class Network:
     def gradients(self, index, h, tape, ids, classes) -> dict[str, np.ndarray]:
         """Of the loss by each parameter; of the inputs' weights only the rows of `words`, the words that the window has."""
         p, n = self.p, self.shape.hidden
-        g = {"ww": np.zeros(p["ww"].shape, F32), "bw": np.zeros(p["bw"].shape, F32)}
-        c, scale = classes.take(index), F32(1 / len(index))
-        d = h @ p["wc"]
-        d += p["bc"]
-        d = softmax(d, c, True)
-        d *= scale
-        g["wc"], g["bc"] = h.T @ d, d.sum(0)
+        wc, ww = self._heads()
+        c, scale = classes.take(index), 1 / len(index)
+        y = _with_ones(h)
+        d = softmax(y @ wc, c, scale)
+        dwc = y.T @ d
         dh = d @ p["wc"].T
         order, cuts = self._by_class(c)
-        y, word = h.take(order, 0), ids.take(index.take(order)) % self.shape.per_class
-        dy = np.empty_like(y)
+        y, word = y.take(order, 0), ids.take(index.take(order)) % self.shape.per_class
+        dy, dww = np.empty((len(y), n), F32), np.zeros(ww.shape, F32)
         for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if e > s:
-                d = y[s:e] @ p["ww"][k]
-                d += p["bw"][k]
-                d = softmax(d, word[s:e], True)
-                d *= scale
-                np.matmul(y[s:e].T, d, out=g["ww"][k])
-                np.sum(d, 0, out=g["bw"][k])
+                d = softmax(y[s:e] @ ww[k], word[s:e], scale)
+                np.matmul(y[s:e].T, d, out=dww[k])
                 np.matmul(d, p["ww"][k].T, out=dy[s:e])
         dh[order] += dy
-        before, fresh, active, (last, hn, gates, new) = tape
-        dx = np.empty((len(h), 3 * n), F32)
-        du = np.empty((len(h), 3 * n), F32)
-        ut = np.ascontiguousarray(p["u"].T)
+        g = {"wc": dwc[:n], "bc": dwc[n], "ww": np.ascontiguousarray(dww[:, :n]), "bw": dww[:, n].copy()}
+        before, fresh, active, (last, hn, gates) = tape
+        r, z, new = gates
+        # by token, what the state's gradient is multiplied with at the three gates: all steps at once
+        inner = 1 - new * new
+        inner *= 1 - z
+        by = np.empty(gates.shape, F32)
+        np.multiply(inner, r, out=by[2])
+        np.subtract(1, r, out=by[0])
+        by[0] *= hn
+        by[0] *= by[2]
+        np.subtract(1, z, out=by[1])
+        by[1] *= z
+        by[1] *= last - new
+        dx = np.empty(gates.shape, F32)
+        ut = np.ascontiguousarray(p["u"].reshape(n, 3, n).transpose(1, 2, 0))
         carried, e = None, len(h)
         for t in range(len(active) - 1, -1, -1):
             a = active[t]
             s = e - a
-            r, z = gates[s:e, :n], gates[s:e, n:]
             dnow = dh[s:e]
             if carried is not None:
                 dnow[: len(carried)] += carried
-            here, back = dx[s:e], du[s:e]
-            keep = dnow * z
-            dnew = dnow - keep
-            dnew -= dnew * new[s:e] * new[s:e]
-            gate = here[:, :n]
-            np.multiply(dnew, hn[s:e], out=gate)
-            gate *= r
-            gate -= gate * r
-            gate = here[:, n : 2 * n]
-            np.subtract(last[s:e], new[s:e], out=gate)
-            gate *= keep
-            gate -= gate * z
-            here[:, 2 * n :] = dnew
-            back[:, : 2 * n] = here[:, : 2 * n]
-            np.multiply(dnew, r, out=back[:, 2 * n :])
-            carried = back @ ut
-            carried += keep
+            back = np.matmul(np.multiply(by[:, s:e], dnow, out=dx[:, s:e]), ut)
+            carried = dnow * z[s:e]
+            for k in range(3):
+                carried += back[k]
             if fresh[t, :a].any():
                 carried[fresh[t, :a]] = 0
             e = s
-        g["u"] = last.T @ du
-        g["b"] = dx.sum(0)
+        g["u"] = np.matmul(last.T, dx).transpose(1, 0, 2).reshape(n, 3 * n)
+        np.multiply(dh, inner, out=dx[2])
+        dx = dx.transpose(1, 0, 2).reshape(len(h), 3 * n)
+        g["b"] = _ones(len(h)) @ dx
         order = np.argsort(before.astype(np.int16), kind="stable")
         at = before.take(order)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
@@ -277,16 +291,17 @@ class Trainer:
             scale = F32(min(1.0, 1 / max(norm, 1e-6)))
             rate = F32(self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps) * min(1.0, len(index) / 1024))
             for k, x in g.items():
-                x *= scale
+                if scale < 1:
+                    x *= scale
                 m, v = (self.m[k], self.v[k]) if k != "x" else (self.m[k][words], self.v[k][words])
+                # m is kept as 10 times and v as 100 times the average
                 m *= F32(0.9)
-                m += F32(0.1) * x
+                m += x
                 v *= F32(0.99)
                 x *= x
-                x *= F32(0.01)
                 v += x
                 np.sqrt(v, out=x)
-                x += F32(1e-6)
+                x += F32(1e-5)
                 np.divide(m, x, out=x)
                 x *= rate
                 if k == "x":

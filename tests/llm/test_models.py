@@ -79,6 +79,25 @@ def test_probabilities_sum_to_one():
     assert abs(total - 1) < 1e-5
 
 
+def test_states_are_those_of_plain_gates():
+    """Window after window, with gates far beyond where exponentials of them would overflow."""
+    net, rng = small_network(), np.random.default_rng(4)
+    net.p["x"][3] = 500
+    net.p["x"][4] = -500
+    ids = rng.integers(0, SMALL.inputs, 90).astype(np.int32)
+    p, n, h, want = {k: v.astype(float) for k, v in net.p.items()}, SMALL.hidden, np.zeros(SMALL.hidden), []
+    sig = lambda v: 1 / (1 + np.exp(-np.clip(v, -700, 700)))
+    for k in range(len(ids)):
+        x, hu = p["x"][ids[k - 1] if k else 1] + p["b"], h @ p["u"]
+        r, z = sig(x[:n] + hu[:n]), sig(x[n : 2 * n] + hu[n : 2 * n])
+        new = np.tanh(x[2 * n :] + r * hu[2 * n :])
+        h = z * h + (1 - z) * new
+        want.append(h)
+    for keep in (True, False):
+        got = np.concatenate([h for _, h, _ in net.windows(gru.pack(np.array([0, len(ids)]), 1), ids, 1, keep)])
+        np.testing.assert_allclose(got, want, atol=2e-5)
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(1)
     bounds, ids, classes = small_texts(rng, 9, 4, 6)  # one window
