@@ -81,9 +81,13 @@ def blockgen(df: DataFrame, kind: str, n: int, keys: list[str], order: list[str]
 
 
 def _with(df: DataFrame, keys: list[str], ids: DataFrame, buckets: int) -> DataFrame:
-    """df dealt by the keys, with the block id of its key."""
+    """df dealt by the keys, with the block id of its key.
+
+    A join's sides are dealt anew where Spark wants more partitions than there are buckets: only the exchange above it holds
+    a bucket in one partition. It costs nothing where the join keeps the deal, as Spark then leaves it out.
+    """
     rows = df.repartition(buckets, packed(keys))
-    return rows.join(ids, packed(keys) == F.col("_k")).drop("_k")
+    return rows.join(ids, packed(keys) == F.col("_k")).drop("_k").repartition(buckets, packed(keys))
 
 
 def _laid(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

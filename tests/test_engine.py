@@ -129,6 +129,24 @@ def test_matched_joins_have_no_exchange_above_the_blocks(spark):
         assert "Exchange" not in sides[0].rsplit("Exchange", 1)[0] and "ENSURE_REQUIREMENTS" not in sides[0]
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_a_bucket_is_in_one_partition_however_ids_are_joined(spark, tmp_path, threshold):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        df = spark.range(3000).selectExpr("IF(id % 50 = 0, NULL, id % 700) AS k", "id AS v")
+        for n in (3, 8, 20):  # fewer than the partitions of a shuffle, as many, and more
+            fact = blocks.blockgen(df, "ROW", 40, ["k"], ["k", "v"], n)
+            for out in (fact, blocks.blockgen_by_index(df, blocks.boundaries(fact, ["k"]), ["k"], ["k", "v"], n)):
+                at = out.withColumn("p", F.spark_partition_id()).groupBy(F.shiftright(blocks.BLOCK, 32).alias("b")).agg(F.countDistinct("p").alias("n")).agg(F.max("n"), F.count("*")).first()
+                assert at[0] == 1 and at[1] == len({r.b for r in df.select(blocks.bucket_of(["k"], n).alias("b")).distinct().collect()})
+        blocks.save(blocks.blockgen(df, "ROW", 40, ["k"], ["k", "v"], 3), f"{tmp_path}/f", ["k"], ["k", "v"], 3)
+        files = blocks.load(spark, f"{tmp_path}/f").withColumn("f", F.input_file_name()).groupBy(blocks.BLOCK).agg(F.countDistinct("f").alias("n"))
+        assert files.agg(F.max("n")).first()[0] == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_blocks_end_where_they_are_full(spark):
     rng = random.Random(5)
     sizes = [rng.choice([1, 2, 7, 40]) for _ in range(300)]
