@@ -48,7 +48,7 @@ class Registry:
     def declare(self, alias: str, uri: str, args: list) -> None:
         """FUNCTION alias uri(args): uri is `module.name`, called with the arguments if there are any."""
         f = load(uri)
-        if not (isinstance(f, type) and hasattr(f, "end_measure")):  # cubes make their aggregates themselves
+        if not (isinstance(f, type) and (hasattr(f, "end_measure") or hasattr(f, "take"))):  # cubes make their aggregates themselves
             f = f(*args) if args or isinstance(f, type) else f
         self._new(self.functions, alias, f)
         self.aggregates[alias] = f

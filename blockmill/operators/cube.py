@@ -12,6 +12,7 @@ from ..types import SchemaError
 from .aggregates import Aggregate, by_column, column, exact, share
 from .buffers import fold, is_buffered
 from .percentiles import percentiles
+from .pieces import fold_pieces, is_pieced
 from .rows import need
 
 Sets = list[tuple[str, ...]]
@@ -52,7 +53,8 @@ def cube(df: DataFrame, dims: list[str], aggregates: list[Aggregate], sets: Sets
 
     An aggregate kind may be `[OUTER, INNER]`: for each cell and inner key the values are folded with INNER, and those
     results with OUTER. COUNT_DISTINCT counts the inner keys of each cell, or without inner keys its column's values.
-    A user aggregate is a function of columns, or a class with a buffer (see `buffers`), whose measures are the inner keys.
+    A user aggregate is a function of columns, a class with a buffer (see `buffers`), whose measures are the inner keys, or a
+    class that takes a cell in pieces (see `pieces`). A grouped pandas_udf asks for all values of a cell in one task's memory.
     nulls: "raise" on a null dimension, as null means ALL, or "keep" them (grouping=True then tells them apart).
     """
     inner = list(inner)
@@ -70,13 +72,14 @@ def cube(df: DataFrame, dims: list[str], aggregates: list[Aggregate], sets: Sets
     plain = [a for a in aggregates if not a.kind.startswith("[") and not (a.kind.upper() == "COUNT_DISTINCT" and inner)]
     ranked = [a for a in plain if exact(a, df.schema)]
     buffered = [a for a in plain if is_buffered(a.user)]
-    plain = [a for a in plain if a not in ranked and a not in buffered]
+    pieced = [a for a in plain if is_pieced(a.user) and a not in buffered]
+    plain = [a for a in plain if a not in ranked and a not in buffered and a not in pieced]
     dual = [a for a in aggregates if a.kind.startswith("[")]
     members = [a for a in aggregates if a.kind.upper() == "COUNT_DISTINCT" and inner]
     if dual and not inner:
         raise SchemaError("a two-level aggregate needs INNER dimensions")
     parts: list[DataFrame] = []
-    if plain or ranked or buffered:
+    if plain or ranked or buffered or pieced:
         parts.append(df.groupingSets([list(s) for s in sets], *dims).agg(gid, *(column(_additive(a), df.schema).alias(a.output) for a in plain)))
     if dual or members:
         # cells are expanded with the inner key kept, folded, and folded again
@@ -98,6 +101,7 @@ def cube(df: DataFrame, dims: list[str], aggregates: list[Aggregate], sets: Sets
         cells = counts.select(F.struct("_gid", *dims).alias("cell"), F.col("_value").alias("value"), "n")
         parts.append(percentiles(cells, {a.output: share(a) for a in some}).select("cell.*", *(a.output for a in some)))
     parts += [fold(df, list(dims), sets, inner, a.columns, a.user, a.output) for a in buffered]
+    parts += [fold_pieces(df, list(dims), sets, a.columns, a.user, a.output) for a in pieced]
     out = parts[0]
     for other in parts[1:]:
         right = other.select(*(F.col(c).alias(f"_r_{c}" if c in (*dims, "_gid") else c) for c in other.columns))

@@ -323,13 +323,29 @@ def cube_user_aggregate(spark, d):
     return cube.cube(table(spark, d, "lineitem"), _DIMS, [A("USER", ("l_linenumber",), "squares", user=lambda x: F.sum((x * x).cast("long")))])
 
 
+class Spread:
+    """The greatest value less the least, of a cell's values as they come."""
+
+    output_type = "double"
+
+    def buffer(self) -> list[float]:
+        return []  # the least and the greatest, once there is a value
+
+    def take(self, buffer: list[float], v: pd.Series) -> None:
+        if v.notna().any():
+            self.merge(buffer, [float(v.min()), float(v.max())])
+
+    def merge(self, into: list[float], other: list[float]) -> None:
+        if both := into + other:
+            into[:] = [min(both), max(both)]
+
+    def output(self, buffer: list[float]) -> float | None:
+        return buffer[1] - buffer[0] if buffer else None
+
+
 @query("SELECT l_returnflag, l_linestatus, max(l_quantity) - min(l_quantity) AS spread FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def cube_pandas_aggregate(spark, d):
-    @F.pandas_udf("double")
-    def spread(v: pd.Series) -> float:
-        return float(v.max() - v.min())
-
-    return cube.cube(table(spark, d, "lineitem"), _DIMS, [A("USER", ("l_quantity",), "spread", user=spread)])
+    return cube.cube(table(spark, d, "lineitem"), _DIMS, [A("USER", ("l_quantity",), "spread", user=Spread)])
 
 
 # --- users' functions and operators ---------------------------------------------------------------------------------

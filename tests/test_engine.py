@@ -1,4 +1,4 @@
-"""What compiling does and does not do, the order of jobs, settings, stores, plans of blocks, percentiles, buffers and hooks."""
+"""What compiling does and does not do, the order of jobs, settings, stores, plans of blocks, percentiles, buffers, pieces and hooks."""
 
 import os
 import random
@@ -9,13 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockmill import cli, scratch
-from blockmill.operators import blocks, cube, rows
+from blockmill.operators import blocks, cube, pieces, rows
 from blockmill.operators.aggregates import Aggregate as A
 from blockmill.operators.aggregates import group
 from blockmill.plans import hooks
 from blockmill.plans.compiler import Compiler, _inputs, _outputs, describe, run_script
 from blockmill.plans.jobs import feeds, levels
 from blockmill.plans.parser import parse
+from blockmill.queries import QUERIES, Spread
 from blockmill.script_queries import SquaresOfSums
 from blockmill.types import SchemaError
 
@@ -233,6 +234,52 @@ def test_cube_buffers(spark):
         group(df, ["a"], [A("USER", ("v",), "q", user=Longest)])
 
 
+def test_cube_takes_cells_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "CELLS", 7)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+
+    class Count:
+        """Values, and the rows of the largest piece that any task was given."""
+
+        output_type = "struct<n:bigint,most:bigint>"
+
+        def buffer(self):
+            return [0, 0]
+
+        def take(self, buffer, v, w):
+            assert len(v) == len(w)
+            buffer[:] = [buffer[0] + int(v.notna().sum()), max(buffer[1], len(v))]
+
+        def merge(self, into, other):
+            into[:] = [into[0] + other[0], max(into[1], other[1])]
+
+        def output(self, buffer):
+            return {"n": buffer[0], "most": buffer[1]}
+
+    try:
+        rng = random.Random(4)
+        big = 1 << 60  # beyond what a double tells apart
+        rows = [(rng.choice(["x", "y", None]), big + rng.randrange(9), rng.choice([True, False]), rng.choice([None, float(rng.randrange(9))]), k) for k in range(3000)] + [("z", big, True, None, 0)]
+        df = spark.createDataFrame(rows, "a string, b long, c boolean, v double, w long").repartition(3)
+        for sets in (None, [("a", "b"), ("c",)], [("b",), ()]):
+            users = [A("USER", ("v",), "s", user=Spread), A("USER", ("v", "w"), "n", user=Count), A("COUNT", ("v",), "want"), A("MIN", ("v",), "lo"), A("MAX", ("v",), "hi")]
+            out = cube.cube(df, ["a", "b", "c"], users, sets, nulls="keep", grouping=True).collect()
+            assert all(r.n.n == r.want and r.n.most <= 50 and r.s == (None if r.want == 0 else r.hi - r.lo) for r in out)
+            assert len({(r.grouping_id, r.a, r.b, r.c) for r in out}) == len(out) > 8
+        assert cube.cube(df.where("w < 0"), ["a"], [A("USER", ("v",), "s", user=Spread)], nulls="keep").collect() == []
+        assert cube.cube(df, [], [A("USER", ("v",), "s", user=Spread)]).collect()[0].s == 8
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    with pytest.raises(SchemaError, match="aggregate of cubes"):
+        group(df, ["a"], [A("USER", ("v",), "s", user=Spread)])
+
+
+def test_cube_pandas_aggregate_holds_no_cell(spark):
+    plan = QUERIES["cube_pandas_aggregate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowAggregatePython" not in plan and "AggregateInPandas" not in plan
+
+
 def test_hooks_and_metafiles(spark, tmp_path):
     t = str(tmp_path)
     assert hooks.read(spark, f"{t}/none") == {}
