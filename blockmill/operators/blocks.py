@@ -75,8 +75,8 @@ def blockgen(df: DataFrame, kind: str, n: int, keys: list[str], order: list[str]
     df = df.distinct() if distinct else df
     cost = {"ROW": F.count("*"), "SIZE": F.sum(width(df.schema)), "PARTITION_KEY": F.lit(1).cast("long")}[kind]
     counts = df.groupBy(packed(keys).alias("_k")).agg(cost.alias("_cost")).withColumn(BUCKET, F.pmod(F.hash("_k"), F.lit(buckets)))
-    # whole buckets in each partition, in order of the keys
-    walked = counts.repartition(buckets, "_k").sortWithinPartitions(BUCKET, "_k").mapInArrow(_cutter(n), T.StructType([counts.schema["_k"], T.StructField(BLOCK, T.LongType())]))
+    # a bucket in each partition, in order of the keys
+    walked = counts.repartitionById(buckets, F.col(BUCKET)).sortWithinPartitions(BUCKET, "_k").mapInArrow(_cutter(n), T.StructType([counts.schema["_k"], T.StructField(BLOCK, T.LongType())]))
     return _laid(_with(df, keys, walked.repartition(buckets, "_k"), buckets), keys, order)
 
 
@@ -224,6 +224,7 @@ def read_text(spark: SparkSession, path: str) -> str:
 def save(blocks: DataFrame, path: str, keys: list[str], order: list[str] = (), buckets: int = 8, blockgen_id: str = "", overwrite: bool = False) -> None:
     """Blocks as Parquet, each in one file and in order, beside a metadata file and the blocks' boundaries.
 
+    Rows are dealt by bucket as they are written, since blocks that were loaded or joined need not lie whole.
     Data and boundaries go to a folder of a new name, and the metadata, which names it, is written last: a store that is
     written over is the old one until then. Folders that no metadata names are removed afterwards.
     """
@@ -234,7 +235,8 @@ def save(blocks: DataFrame, path: str, keys: list[str], order: list[str] = (), b
     if fs.exists(where) and not overwrite:
         raise SchemaError(f"{path} holds blocks already")
     version = f"v-{uuid.uuid4().hex}"
-    blocks.write.parquet(f"{path}/{version}/data")
+    dealt = blocks.repartitionById(buckets, F.shiftright(BLOCK, 32).cast("int"))
+    _laid(dealt, keys, order).write.parquet(f"{path}/{version}/data")
     stored = spark.read.schema(blocks.schema).parquet(f"{path}/{version}/data")
     boundaries(stored, keys).write.parquet(f"{path}/{version}/index")
     plain = T.StructType([f for f in blocks.schema if f.name != BLOCK])

@@ -148,6 +148,19 @@ def test_a_bucket_is_in_one_partition_however_ids_are_joined(spark, tmp_path, th
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
 
 
+def test_a_store_holds_whole_blocks_however_rows_lie(spark, tmp_path, monkeypatch):
+    df = spark.range(3000).selectExpr("id % 700 AS k", "id AS v")
+    frame = type(df)
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols, f=frame.repartition: f(self, max(11, n) if cols else n, *cols))
+    made = blocks.blockgen(df, "ROW", 40, ["k"], ["k", "v"], 3)
+    for name, rows_ in (("made", made), ("mixed", made.repartition(7))):
+        blocks.save(rows_, f"{tmp_path}/{name}", ["k"], ["k", "v"], 3)
+        stored = blocks.load(spark, f"{tmp_path}/{name}")
+        files = stored.withColumn("f", F.input_file_name()).groupBy(blocks.BLOCK).agg(F.countDistinct("f").alias("n"))
+        assert files.agg(F.max("n")).first()[0] == 1 and stored.count() == 3000
+        assert all(r.violations == 0 for r in blocks.validate(stored, ["k"], ["k", "v"], 3, "ROW", 40).collect())
+
+
 def test_blocks_end_where_they_are_full(spark):
     rng = random.Random(5)
     sizes = [rng.choice([1, 2, 7, 40]) for _ in range(300)]
